@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 #: pre-token is white space or a control character to the library.
 _MAP = {b: 0x100 + b for b in range(256)}
 #: Entries that a worker's memo of pre-tokens may hold before it starts afresh.
-MEMO = 400_000
+MEMO = 300_000
 #: Characters encoded in one go; beyond it a text goes by itself, in parts of CHUNK pre-tokens.
-LONG, CHUNK = 2_000_000, 50_000
+LONG, CHUNK = 1_000_000, 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,61 +61,102 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return pieces + unknown + _field(2, trainer) + _field(3, normalizer)
 
 
+#: The pattern for which texts may be cut at single spaces and line ends (see Codec).
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Codec:
-    """Encodes and decodes single texts."""
+    """Encodes and decodes texts.
+
+    Pre-tokens are memoised. Under the pattern SPACED no match goes on past a
+    space or line end between two characters that aren't white space: a space
+    begins a match, a line end is one by itself. So a text in which all spaces
+    and line ends stand alone is cut there, and the memo holds the ids of whole
+    chunks; the matches within a chunk are still found by the pattern and encoded
+    one by one. Other texts are cut by the pattern."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.tokens = sorted(self.ranks, key=self.ranks.get)
+        self.numbers = list(range(len(self.tokens)))  # one object per id for all memos
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.pattern = regex.compile(pattern)
+        self.spaced = pattern == SPACED
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...] | None] = {}
+
+    def _pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of pre-tokens: of a token as it is, else by the model."""
+        raws = [p.encode() for p in pieces]
+        out = [(r,) if (r := self.ranks.get(raw)) is not None else None for raw in raws]
+        ask = [i for i, x in enumerate(out) if x is None]
+        if ask:
+            found = self.model.encode([raws[i].decode("latin-1").translate(_MAP) for i in ask], num_threads=1)
+            for i, ids in zip(ask, found, strict=True):
+                out[i] = tuple(map(self.numbers.__getitem__, ids))
+        return out
 
     def _learn(self, some: set[str]) -> None:
         """Memoises the pre-tokens ``some``; a memo that would overflow starts afresh."""
         new = [p for p in some if p not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, list(some)
-        ask, mapped = [], []
-        for p in new:
-            raw = p.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                self.memo[p] = (whole,)
-            else:
-                ask.append(p)
-                mapped.append(raw.decode("latin-1").translate(_MAP))
-        for p, ids in zip(ask, self.model.encode(mapped, num_threads=1) if mapped else [], strict=True):
-            self.memo[p] = tuple(ids)
-
-    def _ids(self, pieces: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
+        self.memo.update(zip(new, self._pieces(new), strict=True))
+
+    def _learn_chunks(self, some: set[str]) -> None:
+        """As above for chunks. None: white space next to the cut."""
+        new = [c for c in some if c not in self.chunks]
+        if len(self.chunks) + len(new) > MEMO:
+            self.chunks, new = {}, list(some)
+        pieces: list[str] = []
+        sizes: list[int] = []
+        for c in new:
+            bare = c.removeprefix("\n")
+            if not bare or bare != bare.strip():
+                sizes.append(-1)
+                continue
+            found = self.pattern.findall(c if c[0] == "\n" else " " + c)
+            pieces += found
+            sizes.append(len(found))
+        ids = iter(self._pieces(pieces))
+        for c, n in zip(new, sizes, strict=True):
+            self.chunks[c] = None if n < 0 else tuple(chain.from_iterable(islice(ids, n)))
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. The unknown pre-tokens of all texts are learnt at once."""
-        out: list[list[int] | None] = []
-        waiting: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if len(text) > LONG:
-                out.append(self._encode_long(text))
-                continue
-            pieces = self.pattern.findall(text)
-            try:
-                out.append(self._ids(pieces))
-            except KeyError:
-                out.append(None)
-                waiting.append((i, pieces))
-        if waiting:
-            self._learn(set().union(*(p for _, p in waiting)))
-            for i, pieces in waiting:
-                out[i] = self._ids(pieces)
+        """Ids of each text. What is unknown in all texts is learnt at once."""
+        out: list[list[int] | None] = [None] * len(texts)
+        if self.spaced:
+            cut = {i: ("\n" + t).replace("\n", " \n").split(" ")[1:] for i, t in enumerate(texts) if len(t) <= LONG}
+            waiting = []
+            for i, chunks in cut.items():
+                try:
+                    out[i] = list(chain.from_iterable(map(self.chunks.__getitem__, chunks)))[1:]
+                except KeyError:
+                    waiting.append(i)
+                except TypeError:
+                    pass
+            if waiting:
+                self._learn_chunks(set().union(*(cut[i] for i in waiting)))
+                for i in waiting:
+                    try:
+                        out[i] = list(chain.from_iterable(map(self.chunks.__getitem__, cut[i])))[1:]
+                    except TypeError:
+                        pass
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = self._by_pattern(t)
         return out
 
-    def _encode_long(self, text: str) -> list[int]:
+    def _by_pattern(self, text: str) -> list[int]:
+        if len(text) <= LONG:
+            pieces = self.pattern.findall(text)
+            self._learn(set(pieces))
+            return list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
         out: list[int] = []
         found = (m.group() for m in self.pattern.finditer(text))
         while part := list(islice(found, CHUNK)):
             self._learn(set(part))
-            out.extend(self._ids(part))
+            out.extend(chain.from_iterable(map(self.memo.__getitem__, part)))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -159,13 +200,17 @@ def _decoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            ids = b.column(1)
-            back = pa.array([c.decode(x or []) for x in ids.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, back], names=["doc_id", "ids", "decoded"])
+            back = pa.array([c.decode(x.as_py() or []) for x in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), back], names=["doc_id", "ids", "decoded"])
 
     return run
 
 
+def _round_tripper(path: str, pattern: str):
+    encode_batches, decode_batches = _encoder(path, pattern), _decoder(path, pattern)
+    return lambda batches: decode_batches(encode_batches(batches))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids array<int>)`` for every row: the token ids of the whole
     text, each match of ``pattern`` encoded by itself, no special tokens. Null
@@ -186,9 +231,12 @@ def _schema(df: DataFrame, id_col: str, rest: str) -> str:
     return f"doc_id {df.schema[id_col].dataType.simpleString()}, {rest}"
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` per document."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` per document: encode,
+    then decode, in one pass through the workers."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    both = own.mapInArrow(_round_tripper(path, pattern), _schema(own, "doc_id", "ids array<int>, decoded binary"))
+    return both.select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
