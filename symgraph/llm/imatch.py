@@ -122,8 +122,9 @@ class Print:
 
 
 def level_of(n: int) -> int:
-    """The density at which a subset holds one or two of n terms."""
-    return max(0, n.bit_length() - 1)
+    """The density at which a subset holds a half to one of n terms on average, so
+    that one changed term spoils few subsets."""
+    return n.bit_length()
 
 
 def likeness(a: Print, b: Print) -> float:
