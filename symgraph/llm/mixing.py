@@ -198,7 +198,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     joined = spread.join(slots, ["sid", "block"], "left")
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
-    n = F.coalesce(F.greatest(high - low, F.lit(0)), F.lit(0))
+    n = F.when(F.col("words").isNotNull(), F.greatest(high - low, F.lit(0))).otherwise(F.lit(0))
     joined = joined.select("sid", "lane", "rn", "doc_id", "thash", "size", "epoch", (low - F.col("start")).alias("first"), n.alias("n"))
     found = [F.sum("n").alias("taken")]
     if ranges:
