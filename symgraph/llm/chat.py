@@ -71,29 +71,26 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """``(token, start, end)`` for every token that shares characters with a span:
-    the shared part. ``offsets`` (tokens x 2) and ``spans`` are sorted; for each
-    span the first and last token are found by binary search."""
+def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Rows ``(token, start, end)`` for every token that shares characters with a
+    span: the shared part. ``offsets`` (tokens x 2) and ``spans`` are sorted; for
+    each span the first and last token are found by binary search."""
     starts, ends = offsets[:, 0], offsets[:, 1]
-    out = []
+    out = [np.empty((0, 3), np.int64)]
     for a, b in spans:
-        if a == b:
-            continue
-        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
-        out += [(t, max(a, int(starts[t])), min(b, int(ends[t]))) for t in range(i, j)]
-    return out
+        if a < b:
+            t = np.arange(np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left"))
+            out.append(np.column_stack([t, np.maximum(starts[t], a), np.minimum(ends[t], b)]))
+    return np.concatenate(out)
 
 
-def under(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def under(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """The stretches that sorted parts cover; bytes of one character share it."""
-    out: list[list[int]] = []
-    for a, b in parts:
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    if not len(starts):
+        return []
+    top = np.maximum.accumulate(ends)
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > top[:-1]]))
+    return list(zip(starts[new].tolist(), top[np.append(new[1:], len(starts)) - 1].tolist(), strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -107,24 +104,26 @@ _OUT = "conv_id bigint, formatted string, ids array<int>, loss array<struct<toke
 
 
 def _formatter(path: str, role: str):
-    kind = pa.list_(pa.struct([("token", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     names = ["conv_id", "formatted", "ids", "loss"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for b in batches:
-            convs = b.column(1).to_pylist()
-            for at in range(0, len(convs), 64):
-                some = [[(t["role"] or "", t["text"] or "") for t in c] for c in convs[at : at + 64]]
-                done = [render(c) for c in some]
-                ids, loss = [], []
-                for (text, spans), turns in zip(done, some, strict=True):
+            for at in range(0, b.num_rows, 32):
+                convs = b.column(1).slice(at, 32).to_pylist()
+                texts, ids, loss = [], [], []
+                for conv in convs:
+                    turns = [(t["role"] or "", t["text"] or "") for t in conv]
+                    text, spans = render(turns)
                     e = tok.encode(text, add_special_tokens=False)
                     offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    mine = [s for s, (r, _) in zip(spans, turns, strict=True) if r == role]
-                    ids.append(e.ids)
-                    loss.append([{"token": t, "start": x, "end": y} for t, x, y in mask(offsets, mine)])
-                cols = [b.column(0).slice(at, len(some)), pa.array([t for t, _ in done]), pa.array(ids, pa.list_(pa.int32())), pa.array(loss, kind)]
+                    texts.append(text)
+                    ids.append(np.array(e.ids, np.int32))
+                    loss.append(mask(offsets, [s for s, (r, _) in zip(spans, turns, strict=True) if r == role]))
+                parts = np.concatenate(loss).astype(np.int32)
+                flat = pa.StructArray.from_arrays([pa.array(parts[:, i]) for i in range(3)], names=["token", "start", "end"])
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in loss])]), pa.int32())
+                cols = [b.column(0).slice(at, 32), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.ListArray.from_arrays(ends, flat)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
@@ -151,10 +150,15 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     names = [x.split()[0] for x in _DIGEST.split(", ")]
     for b in batches:
         out: list[list] = [[] for _ in names]
-        for conv_id, text, _, loss in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        loss = b.column(2)
+        bounds, flat = loss.offsets.to_numpy(), loss.values
+        starts, ends = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end"))
+        for i, (conv_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+            text = text.as_py()
             turns = read_back(text)
             whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-            told = "".join(unescape(text[x:y]) for x, y in under([(p["start"], p["end"]) for p in loss]))
+            own = slice(bounds[i], bounds[i + 1])
+            told = "".join(unescape(text[x:y]) for x, y in under(starts[own], ends[own]))
             row = (conv_id, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(told), hashlib.sha256(told.encode()).hexdigest(), len(text))
             for col, v in zip(out, row, strict=True):
                 col.append(v)
@@ -164,7 +168,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Reads formatted conversations back: turns, and the text under the mask."""
-    return formatted.mapInArrow(_digest_batches, _DIGEST)
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(_digest_batches, _DIGEST)
 
 
 PROBE = "\\### Assistant: </turn> ok"
