@@ -111,7 +111,7 @@ BODY: dict[str, str] = {
     "impact_behavior": impact("'red bolt'", 2, "'behavioral'"),
     "impact_depth1": impact("'red bolt'", 1, _BREAK),
     "impact_multi": impact("'red bolt', 'blue gear', 'NATION_3'", 2, _BREAK),
-    "impact_ordered": impact("'blue gear'", 2, _BREAK),
+    "impact_ordered": impact("'red bolt'", 2, _BREAK),
     "impact_summary": impact("'red bolt'", 2, _BREAK).replace("SELECT hit.id AS node_id", "SELECT classification, depth, count(*) AS n FROM (SELECT hit.id AS node_id") + ") GROUP BY classification, depth",
     "impact_matrix": """SELECT c AS change, CAST(d AS INTEGER) AS depth, CASE WHEN c = 'behavior_change' THEN 'behavioral' WHEN c = 'addition' THEN NULL WHEN d = 1 THEN 'breaking' ELSE 'behavioral' END AS classification
 FROM (SELECT unnest(['signature_change', 'removal', 'behavior_change', 'addition']) AS c), range(1, 6) t(d)""",
@@ -161,8 +161,8 @@ FROM (SELECT unnest(['signature_change', 'removal', 'behavior_change', 'addition
     "resolver_pending": "SELECT id FROM fn WHERE p_partkey % 3 <> 0",
     "trace_static": ", st AS (SELECT DISTINCT source, target FROM edges JOIN nodes ON id = target WHERE edges.kind = 'calls'), p AS (SELECT [id] AS path FROM nodes WHERE id = (SELECT min(id) FROM fn) UNION ALL SELECT list_append(path, target) FROM p JOIN st ON source = path[-1] WHERE len(path) < 3 AND NOT list_contains(path, target)) SELECT array_to_string(path, ' > ') AS path, CAST(len(path) - 1 AS INTEGER) AS depth FROM p",
     "pattern_2hop": ", a AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'imports'), b AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'routes_to') SELECT a.source AS a, a.target AS b, b.target AS c FROM a JOIN b ON a.target = b.source JOIN nodes x ON x.id = a.source JOIN nodes y ON y.id = a.target JOIN nodes z ON z.id = b.target",
-    "co_change": ', c AS (SELECT DISTINCT o_custkey AS commit, o_orderpriority || o_orderstatus AS symbol FROM orders), n AS (SELECT symbol, count(*) AS n FROM c GROUP BY symbol), j AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS "both" FROM c x JOIN c y ON x.commit = y.commit AND x.symbol < y.symbol GROUP BY 1, 2) SELECT a, b, "both", na.n + nb.n - "both" AS either FROM j JOIN n na ON na.symbol = a JOIN n nb ON nb.symbol = b WHERE "both" > 0.6 * (na.n + nb.n - "both")',
-    "co_executes": ", h AS (SELECT e.event_type AS test, f.id FROM (SELECT DISTINCT event_type, CAST(user_id AS INTEGER) AS line FROM events) e JOIN fn f ON f.start_line <= e.line AND f.end_line >= e.line AND f.file = (SELECT min(file) FROM fn)) SELECT x.id AS a, y.id AS b, count(DISTINCT x.test) AS tests FROM h x JOIN h y ON x.test = y.test AND x.id < y.id GROUP BY x.id, y.id",
+    "co_change": ', c AS (SELECT DISTINCT o_custkey AS commit, o_orderpriority AS symbol FROM orders), n AS (SELECT symbol, count(*) AS n FROM c GROUP BY symbol), j AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS "both" FROM c x JOIN c y ON x.commit = y.commit AND x.symbol < y.symbol GROUP BY 1, 2) SELECT a, b, "both", na.n + nb.n - "both" AS either FROM j JOIN n na ON na.symbol = a JOIN n nb ON nb.symbol = b WHERE "both" > 0.6 * (na.n + nb.n - "both")',
+    "co_executes": ", h AS (SELECT DISTINCT e.event_type AS test, f.id FROM (SELECT DISTINCT event_type, 'part/Brand#' || (user_id % 25 + 1) || '.ts' AS file, CAST(user_id AS INTEGER) AS line FROM events) e JOIN fn f ON f.file = e.file AND f.start_line <= e.line AND f.end_line >= e.line) SELECT x.id AS a, y.id AS b, count(DISTINCT x.test) AS tests FROM h x JOIN h y ON x.test = y.test AND x.id < y.id GROUP BY x.id, y.id",
     "graph_stats": "SELECT 'node' AS what, kind, CAST(NULL AS VARCHAR) AS provenance_source, count(*) AS n FROM nodes GROUP BY CUBE (kind) UNION ALL SELECT 'edge', kind, provenance_source, count(*) FROM edges GROUP BY CUBE (kind, provenance_source)",
     "rule_routes": """, m AS (
   SELECT a.file, CAST(e.event_id + 1 AS INTEGER) AS line, 'endpoint:' || upper(e.event_type) || ':/u/' || (e.user_id % 10) AS target,

@@ -42,7 +42,7 @@ _impact("impact_multi", ["red bolt", "blue gear", "NATION_3"], "removal", 2)
 
 @_q
 def impact_ordered(g: Graph) -> DataFrame:
-    return graph.impact(g.nodes, g.edges, ["blue gear"], "removal", 2).orderBy(*graph.impact_order())
+    return graph.impact(g.nodes, g.edges, ["red bolt"], "removal", 2).orderBy(*graph.impact_order())
 
 
 @_q
@@ -214,7 +214,8 @@ def agent_upsert(g: Graph) -> DataFrame:
 @_q
 def agent_stale(g: Graph) -> DataFrame:
     low = F.broadcast(_smallest(g.functions, "file"))
-    h = g.file_hashes.join(low).select("file", F.when(F.col("file") == F.col("_min"), "x").otherwise(F.col("hash")).alias("hash"))
+    h = g.file_hashes.join(low, F.col("file") == F.col("_min"), "left")
+    h = h.select("file", F.when(F.col("_min").isNotNull(), "x").otherwise(F.col("hash")).alias("hash"))
     return files.agent_stale(g.nodes, g.edges, h)
 
 
@@ -372,16 +373,18 @@ def pattern_2hop(g: Graph) -> DataFrame:
 
 @_q
 def co_change(g: Graph) -> DataFrame:
-    return graph.co_change(g.t("orders").select(F.col("o_custkey").alias("commit"), F.concat("o_orderpriority", "o_orderstatus").alias("symbol")))
+    return graph.co_change(g.t("orders").select(F.col("o_custkey").alias("commit"), F.col("o_orderpriority").alias("symbol")))
 
 
 @_q
 def co_executes(g: Graph) -> DataFrame:
-    """Functions of a file whose spans a test's covered lines meet, in pairs."""
-    f = g.functions.join(F.broadcast(_smallest(g.functions, "file")), F.col("file") == F.col("_min")).select("id", "file", "start_line", "end_line")
-    lines = g.t("events").select(F.col("event_type").alias("test"), F.col("user_id").cast("int").alias("line")).distinct()
-    low = _smallest(g.functions, "file").withColumnRenamed("_min", "file")
-    h = lines.join(F.broadcast(low)).join(f, "file").where("start_line <= line and end_line >= line").select("test", "id").distinct()
+    """Pairs of functions whose spans hold lines that a test covered, with the number
+    of such tests; a user's number stands for file and line."""
+    f = g.functions.select("id", "file", "start_line", "end_line")
+    user = F.col("user_id")
+    file = F.concat(F.lit("part/Brand#"), (user % 25 + 1).cast("string"), F.lit(".ts"))
+    lines = g.t("events").select(F.col("event_type").alias("test"), file.alias("file"), user.cast("int").alias("line")).distinct()
+    h = lines.join(f, "file").where("start_line <= line and end_line >= line").select("test", "id").distinct()
     both = h.withColumnRenamed("id", "a").join(h.withColumnRenamed("id", "b"), "test").where("a < b")
     return both.groupBy("a", "b").agg(F.countDistinct("test").alias("tests"))
 
