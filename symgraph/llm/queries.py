@@ -61,4 +61,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Learnt scores, XXH64, patience, permutations and the tokenizer have no SQL form.
-ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op8_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op4_urls": urls.ORACLE, "op5_topk": topk.ORACLE, "op8_warc": warc.ORACLE, "op10_chat": chat.ORACLE}

@@ -141,3 +141,45 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[
 def op4_urls(pages: DataFrame) -> DataFrame:
     """The query's columns."""
     return judge(pages)
+
+
+def _attr_sql(name: str) -> str:
+    form = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))"""
+    return " || ".join(f"regexp_extract(tag, '{form}', {i})" for i in (1, 2, 3))
+
+
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in DEFAULT_RULES)
+_PARTS = rf"""coalesce(translate(regexp_extract({{u}}, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS {{p}}host,
+    coalesce(regexp_extract({{u}}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS {{p}}path, coalesce(regexp_extract({{u}}, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS {{p}}q"""
+
+#: The whole method in DuckDB's SQL, with a recursive closure for the components.
+ORACLE = rf"""
+WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {_RULE_ROWS}), p AS (
+  SELECT page_id, url, html, {_PARTS.format(u="url", p="")} FROM pages
+), n AS (SELECT *, CASE WHEN host <> '' THEN host || path || q END AS node FROM p
+), tags AS (
+  SELECT url, host, path, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n
+  WHERE node IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))
+), t AS (
+  SELECT *, trim(CASE WHEN lower({_attr_sql("rel")}) = 'canonical' THEN {_attr_sql("href")}
+    WHEN lower({_attr_sql("http-equiv")}) = 'refresh' THEN regexp_extract({_attr_sql("content")}, '(?i)url\s*=\s*[''"]?([^''"]*)', 1) END) AS t FROM tags
+), r AS (
+  SELECT node, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t
+    WHEN starts_with(t, '/') THEN 'x://' || host || t WHEN starts_with(t, '?') THEN 'x://' || host || path || t WHEN starts_with(t, '#') THEN url
+    ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || CASE WHEN path = '' THEN '/' ELSE '' END || t END AS u FROM t WHERE t <> ''
+), m AS (SELECT node, {_PARTS.format(u="u", p="t")} FROM r
+), e AS (SELECT DISTINCT node AS a, thost || tpath || tq AS b FROM m WHERE thost <> '' AND node <> thost || tpath || tq
+), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+), reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a
+), urls AS (SELECT DISTINCT b AS node, regexp_extract(b, '^[^/?]*') AS host, regexp_extract(b, '^[^/?]*([^?]*)', 1) AS path FROM reach
+), ruled AS (
+  SELECT node, arg_max(rv, length(rh || rp)) AS v FROM urls JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY node
+), alias AS (
+  SELECT a AS node FROM reach JOIN ruled ON ruled.node = b GROUP BY a HAVING bool_or(v = 'block') AND NOT bool_or(v = 'allow')
+), own AS (
+  SELECT u.host, u.path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS v FROM (SELECT DISTINCT host, path FROM n) u
+  JOIN rules ON (u.host = rh OR ends_with(u.host, '.' || rh)) AND starts_with(u.path, rp) GROUP BY u.host, u.path
+)
+SELECT page_id, n.host, n.path, rule, CASE WHEN v IS NOT NULL THEN v WHEN alias.node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM n LEFT JOIN own ON own.host = n.host AND own.path = n.path LEFT JOIN alias ON alias.node = n.node
+"""
