@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from symgraph.llm.common import arrow
 from tokenizers import Tokenizer
 
 OPEN, CLOSE, AFTER_ROLE = "### ", "</turn>", ": "
@@ -140,7 +142,7 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, loss_role: str =
     so its turns are gathered; nothing else is grouped."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     convs = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return convs.mapInArrow(_formatter(tokenizer_path, loss_role), _OUT)
+    return convs.transform(arrow, _formatter(tokenizer_path, loss_role), _OUT)
 
 
 _DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
@@ -168,7 +170,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Reads formatted conversations back: turns, and the text under the mask."""
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(_digest_batches, _DIGEST)
+    return formatted.select("conv_id", "formatted", "loss").transform(arrow, _digest_batches, _DIGEST)
 
 
 PROBE = "\\### Assistant: </turn> ok"

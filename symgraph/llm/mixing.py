@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import WORD, cut
+from symgraph.llm.common import WORD, arrow, cut
 
 #: Words of a block, block slots of an output shard, documents of a lane.
 BLOCK, SHARD_SLOTS, LANE_DOCS = 512, 4096, 50_000
@@ -185,14 +185,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     total = sum(quota)
     if total:
         shards = -(-total // SHARD_SLOTS)
-        drawn = spark.range(shards).mapInArrow(_draws(quota, shards, min(SHARD_SLOTS, total), seed), "shard long, sid int, n long")
+        drawn = spark.range(shards).transform(arrow, _draws(quota, shards, min(SHARD_SLOTS, total), seed), "shard long, sid int, n long")
         due = spark.createDataFrame([(shards, i, q, q) for i, q in enumerate(quota) if q], "shard long, sid int, n long, quota long")
         due = F.broadcast(due) if len(rows) <= BROADCAST_SOURCES else due
         drawn = drawn.join(due.select("sid", "quota"), "sid").select("shard", "sid", "n", "quota").unionByName(due)
         first = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
         drawn = drawn.select("shard", "sid", first.alias("first"), F.least(F.col("n"), F.col("quota") - first).alias("n")).where("n > 0")
         slots = drawn.repartition("shard", "sid").select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
-        slots = slots.mapInArrow(_place(blocks, quota, last, block, sizes, seed), "shard long, sid int, epoch int, block long, words long")
+        slots = slots.transform(arrow, _place(blocks, quota, last, block, sizes, seed), "shard long, sid int, epoch int, block long, words long")
     else:
         slots = spark.createDataFrame([], "shard long, sid int, epoch int, block long, words long")
     joined = spread.join(slots, ["sid", "block"], "left")
@@ -259,7 +259,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 20) -> Data
                     take, texts = [], []
             yield _rows(b, names, take, texts, at, count)
 
-    return both.select(*[d[c] for c in names], "_psize", "_pranges").mapInArrow(run, docs.schema)
+    return both.select(*[d[c] for c in names], "_psize", "_pranges").transform(arrow, run, docs.schema)
 
 
 def _rows(b: pa.RecordBatch, names: list[str], take: list[int], texts: list[str], at: int, count: int | None) -> pa.RecordBatch:

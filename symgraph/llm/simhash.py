@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import connected_components, cut
+from symgraph.llm.common import arrow, connected_components, cut
 
 BITS = 64
 #: Buckets with more distinct fingerprints than this are joined through midpoints.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     3-word shingles (A-Z lower-cased; fewer words: one shingle of all; null or
     blank text: zero)."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return picked.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return picked.transform(arrow, _fingerprint_batches, "doc_id long, fp long")
 
 
 def near_pairs(fps: DataFrame, radius: int = 2, hot: int = HOT_BUCKET) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symgraph.llm.common import arrow
+
 #: Candidates of a tile and queries of a block; at 64 components 4 and 1 MB.
 TILE, BLOCK = 8192, 2048
 _PACKED = "dim int, n int, ids binary, vectors binary"
@@ -120,11 +122,11 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10, tile: int = T
     q = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n = queries.count()
     groups = max(1, spark.sparkContext.defaultParallelism)
-    packed = q.repartition(-(-n // block) or 1).mapInArrow(_pack(block), _PACKED)
+    packed = q.repartition(-(-n // block) or 1).transform(arrow, _pack(block), _PACKED)
     blocks = packed.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q_group"))
-    tiles = candidates.mapInArrow(_pack(tile), _PACKED).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    tiles = candidates.transform(arrow, _pack(tile), _PACKED).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
     met = tiles.join(blocks, (F.col("group") == F.col("q_group")) & (F.col("dim") == F.col("q_dim")))
-    lists = met.select("dim", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    lists = met.select("dim", "ids", "vectors", "q_ids", "q_vectors").transform(arrow, _search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return lists.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

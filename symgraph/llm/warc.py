@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import cut, shared_dir
+from symgraph.llm.common import arrow, cut, shared_dir
 
 #: Skippable frame that holds the dictionary at the head of an archive.
 DICT_MAGIC = (0x184D2A5D).to_bytes(4, "little")
@@ -181,7 +181,7 @@ def write_archives(pages: DataFrame, base: str, archive_bytes: int = ARCHIVE_BYT
     again = decide(small).select(F.col("key").alias("_key"), F.col("ord").alias("_ord"), "refers_to", F.lit(True).alias("revisit"))
     joined = numbered.join(again, (F.col("key") == F.col("_key")) & (F.col("ord") - F.col("_ord") == 0), "left")
     rows = joined.select("page_id", "url", "payload", "digest", "ord", F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to")
-    return cut(rows.mapInArrow(_writer(base, archive_bytes), "path string, records long, bytes long"))
+    return cut(rows.transform(arrow, _writer(base, archive_bytes), "path string, records long, bytes long"))
 
 
 def _reader(base: str):
@@ -224,7 +224,7 @@ def read_archives(manifest: DataFrame, base: str) -> DataFrame:
     digest; a damaged archive is an error."""
     n = max(1, manifest.count())
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.select("path").repartition(n, "path").mapInArrow(_reader(base), schema)
+    return manifest.select("path").repartition(n, "path").transform(arrow, _reader(base), schema)
 
 
 def op8_warc(pages: DataFrame) -> DataFrame:
