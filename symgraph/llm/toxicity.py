@@ -10,15 +10,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symgraph.llm.common import arrow
+
 _TOKEN = re.compile(r"\w+")
 #: Bounds of the model: labelled rows of each class that it is fitted on (those
 #: with the smallest hash of the id), and tokens that it keeps (largest |z|).
 MAX_TRAIN_PER_CLASS, MAX_TOKENS = 10_000, 50_000
 #: The prior weighs this share of all counts; then the least |z|, the largest |score|, the score of a token without evidence.
-PRIOR, LEAST_Z, CAP, DRIFT = 0.1, 2.5, 4.0, -0.05
+PRIOR, LEAST_Z, CAP, DRIFT = 0.1, 2.5, 4.0, -0.03
 
 
 def maximal_segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -104,7 +107,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             counts[y].update(set(tokens_of(text)))
-        if sum(map(len, counts)) > 500_000:
+        if sum(map(len, counts)) > 100_000:
             yield _counted(counts)
             counts = (Counter(), Counter())
     yield _counted(counts)
@@ -144,23 +147,38 @@ def training_ids(labels: DataFrame, per_class: int = MAX_TRAIN_PER_CLASS) -> Dat
     return parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("id"), "y", F.pmod("h", F.lit(10)).alias("fold"), w.alias("weight"))
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds two min-hashes over the 3-word shingles of a text."""
+    for b in batches:
+        marks: tuple[list[int], list[int]] = ([], [])
+        for text in b.column(0).to_pylist():
+            words = text.split()
+            grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+            for out, seed in zip(marks, (7, 8), strict=True):
+                out.append(min(xxhash.xxh64_intdigest(g, seed) for g in grams) >> 1)
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m, pa.int64()) for m in marks)], names=[*b.schema.names, "m1", "m2"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits the model on a bounded sample of labelled rows (see ``training_ids``):
-    token log-odds on seven tenths of them, exact copies counted once; on the rest
-    lambda from the clean score distribution, and the logistic curve that turns
-    the evidence of a text into the probability of label 1."""
+    token log-odds on seven tenths of them; on the rest lambda from the clean score
+    distribution, and the logistic curve that turns the evidence of a text into
+    the probability of label 1. Copies and near copies (an equal min-hash) count
+    once, so that a copied text doesn't make its rare words look toxic."""
     # At most 2 x MAX_TRAIN_PER_CLASS rows of 28 bytes are broadcast.
     ids = F.broadcast(training_ids(labels))
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id").where("text is not null")
-    train = train.dropDuplicates(["text"]).select("text", "y", "fold", "weight")
-    train = train.select("*", (F.col("fold") < 7).alias("learn")).persist()
-    counts = train.where("learn").select("text", "y").mapInArrow(_count_batches, "token string, clean long, toxic long")
+    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id").where("text is not null")
+    train = train.select("text", "y", "fold", "weight", "id").transform(arrow, _marks, "text string, y int, fold long, weight double, id long, m1 long, m2 long")
+    for mark in ("m1", "m2"):
+        train = train.withColumn("_n", F.row_number().over(Window.partitionBy("y", mark).orderBy("id"))).where("_n = 1")
+    train = train.select("text", "y", "fold", "weight", (F.col("fold") < 7).alias("learn")).persist()
+    counts = train.where("learn").select("text", "y").transform(arrow, _count_batches, "token string, clean long, toxic long")
     counts = counts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     model = Model({t: max(-CAP, min(CAP, d)) for t, d in log_odds(counts)})
     if model.weight:
-        seen = train.where("not learn").mapInArrow(_evidence_batches(model), "y int, weight double, n long, values array<double>").collect()
+        seen = train.where("not learn").transform(arrow, _evidence_batches(model), "y int, weight double, n long, values array<double>").collect()
         _calibrate(model, seen)
-        rows = train.where("not learn").mapInArrow(_final_batches(model), "y int, weight double, x double").collect()
+        rows = train.where("not learn").transform(arrow, _final_batches(model), "y int, weight double, x double").collect()
         model.a, model.b = logistic([r.x for r in rows], [r.y for r in rows], [r.weight for r in rows])
     train.unpersist()
     return model
@@ -249,7 +267,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     text is read; null and empty texts score as texts without evidence."""
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(_score_batches(model), f"doc_id {kind}, score double, passages {PASSAGE}")
+    return picked.transform(arrow, _score_batches(model), f"doc_id {kind}, score double, passages {PASSAGE}")
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -270,4 +288,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
             keep = [model.score(min(50.0, model.evidence(model.passages(tokens_of(t))))) < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow, run, docs.schema)
