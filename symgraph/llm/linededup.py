@@ -2,43 +2,109 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import cut
+from symgraph.llm.common import arrow, cut
 
 #: What is stripped from a line before it is hashed.
 BLANK = " \t\r\x0b\f"
+#: Lines end at line ends, and at a space after a sentence's end, so that a passage
+#: inside a paragraph has lines of its own.
+_END = re.compile(r"((?<=[.!?]) |\n)")
 #: Aligned runs of fewer words than this stay (license lines, headings).
-MIN_WORDS = 30
+MIN_WORDS = 25
+#: Cells of the filter that keeps lines of one document from a second shuffle.
+FILTER_CELLS, RANGE_CELLS = 1 << 27, 1 << 20
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, pos, h, g, w)``: the lines of each text that aren't blank, by
-    position among these, with a 64- and a 32-bit hash of the stripped line and
-    its number of words (spaces + 1). Rows with a null id give none."""
-    each = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
-    flat = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(each).alias("pos", "line"))
-    words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return flat.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), words.alias("w"))
+def lines_of(text: str | None) -> list[str]:
+    """The stripped lines of a text that aren't blank."""
+    return [b for x in _END.split(text or "")[::2] if (b := x.strip(BLANK))]
 
 
-def shared_lines(occ: DataFrame) -> DataFrame:
-    """``(doc_id, h, g, w, o, at)``: the lines that at least two documents hold,
-    once per document with their positions ``at``, and their first holder ``o``.
+def _line_batches(shared: bytes | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if shared is None else np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            found = [lines_of(t) for t in b.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = [x for f in found for x in f]
+            h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in flat), np.uint64, len(flat))
+            w = np.fromiter((x.count(" ") + 1 for x in flat), np.int32, len(flat))
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([ids, pa.array(pos), pa.array(h.view(np.int64)), pa.array(w)], names=["doc_id", "pos", "h", "w"])
+            if bits is not None:
+                cell = (h & np.uint64(FILTER_CELLS - 1)).astype(np.int64)
+                out = out.filter(pa.array((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
+            yield out
+
+    return run
+
+
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shared=None) -> DataFrame:
+    """``(doc_id, pos, h, w)``: the lines of each text that aren't blank, by position
+    among these, with a 64-bit hash of the stripped line and its number of words
+    (spaces + 1); with a filter ``shared`` only those that may be in it. Rows with
+    a null id give none."""
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    return own.transform(arrow, _line_batches(shared), "doc_id long, pos int, h long, w int")
+
+
+def _filter_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap for each range of cells, from rows (range, h) sorted by range."""
+
+    def close() -> pa.RecordBatch:
+        bits = np.packbits(mark, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits], pa.binary())], names=["range", "bits"])
+
+    at, mark = None, np.zeros(RANGE_CELLS, bool)
+    for b in batches:
+        ranges, h = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        for r in np.unique(ranges):
+            if r != at:
+                if at is not None:
+                    yield close()
+                at, mark = int(r), np.zeros(RANGE_CELLS, bool)
+            mark[(h[ranges == r] & np.uint64(RANGE_CELLS - 1)).astype(np.int64)] = True
+    if at is not None:
+        yield close()
+
+
+def shared_filter(owner: DataFrame):
+    """A broadcast bit per cell (16 MB, whatever the input) of the hashes in
+    ``owner(h)``. Full cells let lines through that the join then drops, so a
+    filter that fills up costs shuffle, not results."""
+    cell = F.col("h").bitwiseAND(F.lit(FILTER_CELLS - 1))
+    ranged = owner.select(F.floor(cell / RANGE_CELLS).cast("int").alias("range"), "h").repartition("range").sortWithinPartitions("range")
+    bits = np.zeros(FILTER_CELLS // 8, np.uint8)
+    for r in ranged.transform(arrow, _filter_batches, "range int, bits binary").collect():
+        bits[r["range"] * RANGE_CELLS // 8 : (r["range"] + 1) * RANGE_CELLS // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return owner.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, h, o, w, at)``: the lines that at least two documents hold, once
+    per document with their positions ``at``, and their first holder ``o``.
 
     The first holder stands for all holders of a line, so a line costs one pair
     per document however many share it, and none is capped. The minimum is
     pre-aggregated; the join has one row per line on the right, so a line of a
-    third of all documents may be split by adaptive execution."""
-    owner = occ.groupBy("h", "g").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").drop("m")
-    return occ.join(owner, ["h", "g"]).groupBy("doc_id", "h", "g", "o").agg(F.first("w").alias("w"), F.sort_array(F.collect_list("pos")).alias("at"))
+    third of all documents may be split by adaptive execution. Lines of one
+    document are held back by a filter before that join."""
+    every = lines(docs, id_col, text_col)
+    owner = cut(every.groupBy("h").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").select("h", "o"))
+    occ = lines(docs, id_col, text_col, shared_filter(owner))
+    return occ.join(owner, "h").groupBy("doc_id", "h", "o").agg(F.first("w").alias("w"), F.sort_array(F.collect_list("pos")).alias("at"))
 
 
 def patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -142,29 +208,37 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     A later document is aligned with the first holders of its lines. Its group
     holds only lines that the two share, so it is bounded by one document."""
-    each = cut(shared_lines(lines(docs, id_col, text_col)))
-    there = each.where("doc_id = o").select("h", "g", F.col("at").alias("there"))
-    pairs = each.where("doc_id > o").join(there, ["h", "g"])
+    each = cut(shared_lines(docs, id_col, text_col))
+    there = each.where("doc_id = o").select("h", F.col("at").alias("there"))
+    pairs = each.where("doc_id > o").join(there, "h")
     pairs = pairs.groupBy("doc_id", "o").agg(F.collect_list(F.struct("h", "w", "at", "there")).alias("common")).select("doc_id", "common")
-    aligned = pairs.mapInArrow(_align_batches, "doc_id long, pos int, w int, h long")
+    aligned = pairs.transform(arrow, _align_batches, "doc_id long, pos int, w int, h long")
     per_doc = aligned.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "w", "h")).alias("found"))
-    return per_doc.mapInArrow(_runs(min_words), "doc_id long, gone array<struct<pos:int,h:long>>, gone_words long")
+    return per_doc.transform(arrow, _runs(min_words), "doc_id long, gone array<struct<pos:int,h:long>>, gone_words long")
 
 
 def without(text: str, gone: list) -> str:
     """``text`` without the lines at ``gone`` (position among the lines that aren't
-    blank, and hash: another row with this id keeps what differs)."""
-    drop = {int(x["pos"]): int(x["h"]) for x in gone}
-    kept, n = [], 0
-    for line in text.split("\n"):
-        bare = line.strip(BLANK)
+    blank, and hash: another row with this id keeps what differs). What is left is
+    joined by a line end where one stood between, else by the space."""
+    drop = {int(x["pos"]): int(x["h"]) & (1 << 64) - 1 for x in gone}
+    parts = _END.split(text)
+    out: list[str] = []
+    n, between = 0, ""
+    for i in range(0, len(parts), 2):
+        if i and between != "\n":
+            between = parts[i - 1]
+        bare = parts[i].strip(BLANK)
         if bare:
             h = drop.get(n)
             n += 1
-            if h is not None and h & (1 << 64) - 1 == xxhash.xxh64_intdigest(bare.encode(), 42):
+            if h is not None and h == xxhash.xxh64_intdigest(bare, 42):
                 continue
-        kept.append(line)
-    return "\n".join(kept)
+        if out:
+            out.append(between)
+        out.append(parts[i])
+        between = ""
+    return "".join(out)
 
 
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -174,7 +248,8 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
 def dedup_flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, the text without what an earlier document
     holds, plus ``_gone`` (lines deleted) and ``_gone_words``. Null ids, null texts
-    and rows that lose nothing stay as they are. Only changed texts go to Python;
+    and rows that lose nothing stay as they are; rows that share an id all report what
+    is planned for it. Only changed texts go to Python;
     the texts are shuffled once, by id."""
     r = removals(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("_id"), "gone", "gone_words")
     both = docs.join(r, docs[id_col] == r["_id"], "left")

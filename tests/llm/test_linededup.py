@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -9,7 +10,7 @@ from symgraph.llm import linededup
 
 def brute(rows, min_words=linededup.MIN_WORDS):
     """Line by line in Python: what each document loses."""
-    docs = {i: [b for x in t.split("\n") if (b := x.strip(linededup.BLANK))] for i, t in rows if i is not None and t is not None}
+    docs = {i: linededup.lines_of(t) for i, t in rows if i is not None and t is not None}
     first = {}
     for i in sorted(docs):
         for line in docs[i]:
@@ -47,6 +48,25 @@ def test_patience_anchors_on_lines_that_occur_once():
     assert len(linededup.patience(a, b)) >= 4
 
 
+def test_what_is_left_of_a_text():
+    h = lambda x: xxhash.xxh64_intdigest(x, 42)
+    drop = lambda t, *at: linededup.without(t, [{"pos": p, "h": h(linededup.lines_of(t)[p])} for p in at])
+    text = "One two. Three!\n\nFour five? Six\n"
+    assert linededup.lines_of(text) == ["One two.", "Three!", "Four five?", "Six"]
+    assert drop(text) == text and drop(text, 1) == "One two.\n\nFour five? Six\n"
+    assert drop(text, 2) == "One two. Three!\n\nSix\n" and drop(text, 0, 1) == "\nFour five? Six\n"
+    assert drop("A b. C d. E", 1) == "A b. E" and drop("A.\nB. C.", 1) == "A.\nC." and drop("A", 0) == ""
+
+
+def test_a_passage_inside_a_paragraph_goes(spark):
+    rng = random.Random(1)
+    words = lambda n: " ".join(f"{rng.choice('abc')}{rng.randrange(10**6)}" for _ in range(n))
+    inner = " ".join(words(9) + "." for _ in range(7))
+    df = spark.createDataFrame([(i, f"{words(20)}. {words(5)} {inner} {words(7)}. {words(9)}.") for i in range(5)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in linededup.dedup(df).collect()}
+    assert inner in out[0] and all(len(t.split()) < 60 and inner[100:200] not in t for i, t in out.items() if i)
+
+
 def corpus():
     rng = random.Random(6)
     line = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
@@ -71,14 +91,9 @@ def test_against_brute_force(spark):
     assert len(got) == len(rows)
     for i, t in rows:
         want = gone.get(i, set())
-        kept, n = [], 0
-        for x in (t or "").split("\n"):
-            if x.strip(linededup.BLANK):
-                n += 1
-                if n - 1 in want:
-                    continue
-            kept.append(x)
-        text = "\n".join(kept)
+        own = linededup.lines_of(t)
+        text = linededup.without(t or "", [{"pos": p, "h": xxhash.xxh64_intdigest(own[p], 42)} for p in want])
+        assert linededup.lines_of(text) == [x for p, x in enumerate(own) if p not in want]
         assert (got[i].removed_lines, got[i].kept_chars, got[i].kept_sha256) == (len(want), len(text), hashlib.sha256(text.encode()).hexdigest()), i
     out = {r.doc_id: r.text for r in linededup.dedup(df).collect()}
     assert sum(passage in (t or "") for i, t in out.items() if i is not None) == 1
