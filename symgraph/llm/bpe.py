@@ -14,13 +14,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.llm.common import arrow
+
 #: A byte b is written as the character U+0100 + b, so that no byte of a
 #: pre-token is white space or a control character to the library.
 _MAP = {b: 0x100 + b for b in range(256)}
 #: Entries that a worker's memo of pre-tokens may hold before it starts afresh.
-MEMO = 300_000
+MEMO = 200_000
 #: Characters encoded in one go; beyond it a text goes by itself, in parts of CHUNK pre-tokens.
-LONG, CHUNK = 1_000_000, 50_000
+LONG, CHUNK = 500_000, 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -216,7 +218,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     text, each match of ``pattern`` encoded by itself, no special tokens. Null
     and empty texts give an empty array; repeated rows are encoded each. One
     narrow stage, no shuffle; workers memoise pre-tokens within a bound."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(
+        arrow,
         _encoder(path, pattern), _schema(docs, id_col, "ids array<int>")
     )
 
@@ -224,7 +227,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Adds ``decoded binary``, the bytes of ``ids`` (null: none), to
     ``(doc_id, ids)``."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path, pattern), _schema(encoded, "doc_id", "ids array<int>, decoded binary"))
+    return encoded.select("doc_id", "ids").transform(arrow, _decoder(path, pattern), _schema(encoded, "doc_id", "ids array<int>, decoded binary"))
 
 
 def _schema(df: DataFrame, id_col: str, rest: str) -> str:
@@ -235,7 +238,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` per document: encode,
     then decode, in one pass through the workers."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = own.mapInArrow(_round_tripper(path, pattern), _schema(own, "doc_id", "ids array<int>, decoded binary"))
+    both = own.transform(arrow, _round_tripper(path, pattern), _schema(own, "doc_id", "ids array<int>, decoded binary"))
     return both.select(
         "doc_id",
         "ids",
