@@ -49,7 +49,7 @@ def index_files(store: GraphStore, current: DataFrame, now: int, lookups: Lookup
 
 def index_project(store: GraphStore, root: str, now: int, **options):
     """Indexes a source tree; see ``index_files``. The project's own rules are read
-    from .codegraph/rules unless ``rule_list`` is given."""
+    from its rule folder unless ``rule_list`` is given."""
     options.setdefault("rule_list", rule_files.load(root))
     return index_files(store, tree.read_tree(store.spark, root), now, **options)
 

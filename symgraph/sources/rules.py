@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from symgraph.schema import MATCHES
 from symgraph.sources.lexer import SyntaxProblem, Token, tokens
 
+#: Where a project keeps rules of its own.
+RULE_DIR = os.path.join(".symgraph", "rules")
+
 BUNDLED = [
     {"name": "express-route", "pattern": "$APP.$METHOD($PATH, $$$HANDLERS)", "lang": "typescript",
      "produces": {"edge_kind": "routes_to", "from_capture": "HANDLERS", "to_template": "endpoint:{METHOD}:{PATH}", "confidence": 0.9}},
@@ -68,7 +71,7 @@ def load_dir(path: str) -> list[dict]:
 
 def load(root: str | None = None) -> list[dict]:
     """Bundled rules, then the project's, by name; equal names are both kept."""
-    return sorted([*BUNDLED, *(load_dir(os.path.join(root, ".codegraph", "rules")) if root else [])], key=lambda r: r["name"].casefold())
+    return sorted([*BUNDLED, *(load_dir(os.path.join(root, RULE_DIR)) if root else [])], key=lambda r: r["name"].casefold())
 
 
 def from_json(text: str) -> list[tuple]:

@@ -10,27 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from symgraph.schema import FILES
 
-SKIPPED = {"node_modules", ".megapowers", ".git"}
+#: Entries of these names are left out; a tool's own folders can be added per call.
+SKIPPED = frozenset({"node_modules", ".git"})
 
 
-def walk(root: str) -> list[str]:
+def walk(root: str, skip: frozenset[str] = SKIPPED) -> list[str]:
     """Paths relative to ``root`` of files ending in .ts or .tsx, with slashes;
-    links aren't followed, nor entries of the names in SKIPPED."""
+    links aren't followed, nor entries of the names in ``skip``."""
     out = []
     for at, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in SKIPPED and not os.path.islink(os.path.join(at, d)))
+        dirs[:] = sorted(d for d in dirs if d not in skip and not os.path.islink(os.path.join(at, d)))
         for n in sorted(names):
             path = os.path.join(at, n)
-            if n.endswith((".ts", ".tsx")) and n not in SKIPPED and os.path.isfile(path) and not os.path.islink(path):
+            if n.endswith((".ts", ".tsx")) and n not in skip and os.path.isfile(path) and not os.path.islink(path):
                 out.append(os.path.relpath(path, root).replace(os.sep, "/"))
     return out
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, skip: frozenset[str] = SKIPPED) -> DataFrame:
     """``files(file, content, error)`` of a tree that all executors see. The paths
     are listed here, the files read by the workers; one that can't be read has an
     error and no content, and no other fails with it."""
-    paths = walk(root)
+    paths = walk(root, skip)
     df = spark.createDataFrame(pd.DataFrame({"file": pd.Series(paths, dtype=object)}), "file string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ from symgraph.plans import tools
 from symgraph.plans.index import ensure_indexed, index_project
 from symgraph.plans.store import GraphStore
 from symgraph.schema import EDGES, LOOKUPS, NODES
-from symgraph.sources.tree import walk
+from symgraph.sources.tree import SKIPPED, walk
 from symgraph.streaming import index_stream
 
 A = "import { b } from './b'\nexport function a() {\n  b()\n}\napp.get('/x', a)\n"
@@ -35,6 +35,7 @@ def answers(spark):
 
 def test_walk(tree):
     assert walk(str(tree)) == ["src/a.ts", "src/b.ts"]
+    assert walk(str(tree), SKIPPED | {"src"}) == []
 
 
 def test_index_resolve_change_remove(spark, tree, tmp_path):

@@ -1,6 +1,6 @@
 import pytest
 
-from symgraph.sources.rules import BUNDLED, from_json, load, load_dir, validate
+from symgraph.sources.rules import BUNDLED, RULE_DIR, from_json, load, load_dir, validate
 
 
 def rule(**produces):
@@ -32,7 +32,7 @@ def test_each_error_names_the_file(raw, said):
 
 def test_directories(tmp_path):
     assert load_dir(str(tmp_path / "none")) == []
-    d = tmp_path / ".codegraph" / "rules"
+    d = tmp_path / RULE_DIR
     d.mkdir(parents=True)
     (d / "a.yml").write_text("- {name: a, pattern: 'f($X)', lang: typescript, produces: {edge_kind: renders, from_context: enclosing_function, to_capture: X, confidence: 1}}")
     (d / "b.txt").write_text("[")
