@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from symgraph.llm.common import cut
+from symgraph.llm.common import arrow, cut
 
 #: Terms are hashed into this many cells; document frequencies are exact counts
 #: per cell, and what all workers get is one bit per cell (4 MB).
@@ -23,7 +23,8 @@ CELLS = 1 << 25
 LEAST_DF, MOST_SHARE = 2, 0.01
 #: Hash functions, and the classes of each that serve as lexicon subsets.
 FUNCTIONS, CLASSES = 8, 16
-RANGE_DOCS = 2_000
+#: Cells of a counting range; documents of an order range.
+RANGE_CELLS, RANGE_DOCS = 1 << 17, 2_000
 
 
 def terms(text: bytes) -> set[bytes]:
@@ -41,31 +42,61 @@ def _df_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0).to_pylist():
             if t:
                 counts.update(terms(t))
-        if len(counts) > 300_000:
+        if len(counts) > 250_000:
             yield from _df_rows(counts)
             counts = Counter()
     yield from _df_rows(counts)
 
 
 def _df_rows(counts: Counter[bytes]) -> Iterator[pa.RecordBatch]:
-    cells = (_cells(list(counts)) & np.uint64(CELLS - 1)).astype(np.int32)
-    n = np.fromiter(counts.values(), np.int64, len(counts))
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], names=["cell", "n"])
+    """Counts by cell, packed: a row per range with its cells and their counts."""
+    cells = (_cells(list(counts)) & np.uint64(CELLS - 1)).astype(np.int64)
+    order = np.argsort(cells, kind="stable")
+    cells, n = cells[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+    ranges = np.unique(cells // RANGE_CELLS)
+    bounds = np.searchsorted(cells, np.append(ranges * RANGE_CELLS, CELLS))
+    low, n = (cells % RANGE_CELLS).astype(np.uint32), n.astype(np.uint32)
+    spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+    cols = [pa.array(ranges.astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, n))]
+    yield pa.RecordBatch.from_arrays(cols, names=["range", "cells", "counts"])
+
+
+def _band_bits(least: int, most: int):
+    """From packed counts, sorted by range, a bit per cell of each range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            bits = np.packbits((total >= least) & (total <= most), bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits], pa.binary())], names=["range", "bits"])
+
+        at, total = None, np.zeros(RANGE_CELLS, np.int64)
+        for b in batches:
+            for r, cells, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if r != at:
+                    if at is not None:
+                        yield close()
+                    at, total = r, np.zeros(RANGE_CELLS, np.int64)
+                np.add.at(total, np.frombuffer(cells.as_py(), np.uint32), np.frombuffer(counts.as_py(), np.uint32))
+        if at is not None:
+            yield close()
+
+    return run
 
 
 def band(docs: DataFrame, text_col: str = "text", least: int = LEAST_DF, most: float = MOST_SHARE) -> np.ndarray:
     """A bit per cell: whether its document frequency, over all rows of ``docs``,
     lies in the band of ``least`` documents to a share ``most`` of them, that is,
     its inverse document frequency in ln(1/most) to ln(N/least). Counts are
-    summed in the workers first; the result has a fixed size."""
+    summed in the workers first, and travel packed by range of cells; a range is
+    added up in an array of fixed size, and so is the result."""
     n = docs.count()
-    counts = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(_df_batches, "cell int, n long")
-    inside = counts.groupBy("cell").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n") <= max(least, math.floor(most * n))))
-    word = F.floor(F.col("cell") / 63).cast("int")
-    words = inside.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cell % 63)")).alias("bits"))
-    table = words.toPandas()  # at most CELLS / 63 rows
-    bits = np.zeros(CELLS // 63 + 1, np.int64)
-    bits[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
+    packed = docs.select(F.col(text_col).cast("binary").alias("t")).transform(arrow, _df_batches, "range int, cells binary, counts binary")
+    ordered = packed.repartition("range").sortWithinPartitions("range")
+    rows = ordered.transform(arrow, _band_bits(least, max(least, math.floor(most * n))), "range int, bits binary").collect()
+    bits = np.zeros(CELLS // 8, np.uint8)  # as much as comes to the driver
+    for r in rows:
+        at = r["range"] * RANGE_CELLS // 8
+        bits[at : at + RANGE_CELLS // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     return bits
 
 
@@ -81,8 +112,8 @@ class Lexicon:
     def keep(self, found: set[bytes]) -> np.ndarray:
         """Hashes of the terms within the band, sorted; none within: of all."""
         h = _cells(list(found))
-        word, bit = np.divmod((h & np.uint64(CELLS - 1)).astype(np.int64), 63)
-        inside = h[(self.bits[word] >> bit) & 1 == 1]
+        cell = (h & np.uint64(CELLS - 1)).astype(np.int64)
+        inside = h[(self.bits[cell >> 3] >> (cell & 7)) & 1 == 1]
         return np.sort(inside if len(inside) else h)
 
     def subsets(self, h: np.ndarray, level: int) -> np.ndarray:
@@ -223,7 +254,7 @@ def compare_neighbours(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFra
     spread = own.select(F.posexplode(ranges_of(order)).alias("extra", "rid"), "doc_id", "text")
     spread = spread.select("rid", (F.col("extra") == 1).alias("extra"), "doc_id", "text")
     ordered = spread.repartition("rid").sortWithinPartitions("rid", "extra", F.coalesce("doc_id", F.lit(top)), "text")
-    return ordered.mapInArrow(_compare(bits), _OUT)
+    return ordered.transform(arrow, _compare(bits), _OUT)
 
 
 def _cuts(ids: DataFrame, parts: int) -> list[int]:
