@@ -116,12 +116,12 @@ def node_id(g: Graph) -> DataFrame:
     return g.nodes.where("kind <> 'endpoint'").select("id", C.node_id(F.col("file"), F.col("name"), F.col("start_line")).alias("made"))
 
 
-def _centers(g: Graph) -> DataFrame:
-    return g.edges.where("source = target").select(F.col("source").alias("id")).distinct()
-
-
 def _near(g: Graph, **kw) -> DataFrame:
-    return graph.neighbors(g.nodes, g.edges, _centers(g), **kw)
+    """Neighbours of all nodes with a self-loop. The edges are derived once and cut:
+    centers, outgoing and incoming joins read them."""
+    e = graph.cut(g.edges)
+    centers = e.where("source = target").select(F.col("source").alias("id")).distinct()
+    return graph.neighbors(g.nodes, e, centers, **kw)
 
 
 @_q
