@@ -195,7 +195,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         slots = slots.transform(arrow, _place(blocks, quota, last, block, sizes, seed), "shard long, sid int, epoch int, block long, words long")
     else:
         slots = spark.createDataFrame([], "shard long, sid int, epoch int, block long, words long")
-    joined = spread.join(slots, ["sid", "block"], "left")
+    # what the planner expects of generated slots is far too little: it must not broadcast them
+    joined = spread.join(slots.hint("merge"), ["sid", "block"], "left")
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     n = F.when(F.col("words").isNotNull(), F.greatest(high - low, F.lit(0))).otherwise(F.lit(0))
