@@ -13,15 +13,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import arrow, cut
+from symgraph.llm.common import WORD, arrow, cut
 
 #: What is stripped from a line before it is hashed.
 BLANK = " \t\r\x0b\f"
 #: Lines end at line ends, and at a space after a sentence's end, so that a passage
 #: inside a paragraph has lines of its own.
 _END = re.compile(r"((?<=[.!?]) |\n)")
+_WORDS = re.compile(WORD)
 #: Aligned runs of fewer words than this stay (license lines, headings).
 MIN_WORDS = 25
+#: Words of an anchor: of the grams within MIN_WORDS words the one with the least hash
+#: is an anchor, so that equal runs of so many words have an anchor in common.
+ANCHOR_WORDS = 8
+#: Bytes of text that are hashed word by word at once.
+HASHED_BYTES = 1 << 19
 #: Cells of the filter that keeps lines of one document from a second shuffle.
 FILTER_CELLS, RANGE_CELLS = 1 << 27, 1 << 20
 
@@ -201,6 +207,161 @@ def _runs(min_words: int):
     return run
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.random.default_rng(7).integers(1, 1 << 64, 256, dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of a number modulo 2^64."""
+    if len(_powers.get(base, ())) < n:
+        new = np.full(max(n, HASHED_BYTES + 1), base, np.uint64)
+        new[0] = 1
+        if len(new) > HASHED_BYTES * 4:  # a very long text: not kept
+            return np.cumprod(new)
+        _powers[base] = np.cumprod(new)
+    return _powers[base][:n]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _hashed(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A hash of each of the stretches of ``values``, wherever they lie."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(base, len(values)), out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * _power(pow(base, -1, 1 << 64), len(values) + 1)[start])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts, and the text each is of."""
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[buf], prepend=True))
+    start, end = edges[::2], edges[1::2]
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return _hashed(_BYTE[buf], start, end, _BASES[0]), np.searchsorted(ends, start, "right")
+
+
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    at = np.arange(len(words) - n + 1)
+    return _hashed(words, at, at + n, _BASES[1])
+
+
+def _extreme(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum or maximum of each ``width`` neighbours."""
+    have = 1
+    while have * 2 <= width:
+        x, have = f(x[:-have], x[have:]), have * 2
+    return f(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
+
+
+def _hashed_slices(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row of the first text, hashes of words and their texts, by HASHED_BYTES."""
+    some: list[bytes] = []
+    size = at = 0
+    for i, t in enumerate(b.column(1).to_pylist()):
+        if some and size + len(t or b"") > HASHED_BYTES:
+            yield at, *word_hashes(some)
+            some, size, at = [], 0, i
+        some.append(t or b"")
+        size += len(some[-1])
+    if some:
+        yield at, *word_hashes(some)
+
+
+def _windows(words: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the anchor grams, the least hash within each run of ``n`` words,
+    and whether the run lies in one text."""
+    size = min(ANCHOR_WORDS, n)
+    grams = _grams(words, size)
+    return grams, _extreme(np.minimum, grams, n - size + 1), of[: len(of) - n + 1] == of[n - 1 :]
+
+
+def _anchor_batches(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, words, of in _hashed_slices(b):
+                if len(words) < n:
+                    continue
+                _, least, inside = _windows(words, of, n)
+                new = inside.copy()  # each anchor once for the windows that share it
+                new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1] | (of[1 : len(inside)] != of[: len(inside) - 1])
+                i = np.flatnonzero(new)
+                ids = b.column(0).take(pa.array(at + of[i]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(least[i].view(np.int64))], names=["doc_id", "h"])
+
+    return run
+
+
+def _window_batches(n: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            for at, words, of in _hashed_slices(b):
+                if len(words) < n:
+                    continue
+                _, least, inside = _windows(words, of, n)
+                cell = (least & np.uint64(FILTER_CELLS - 1)).astype(np.int64)
+                i = np.flatnonzero(inside & ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
+                h, doc = _grams(words, n)[i], of[i]
+                # the m-th occurrence in a text is told from the others
+                order = np.lexsort((h, doc))
+                same = np.zeros(len(i), bool)
+                same[1:] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+                count = np.arange(len(i))
+                nth = np.empty(len(i), np.uint64)
+                nth[order] = count - np.maximum.accumulate(np.where(same, 0, count))
+                h = _mixed(h + nth * np.uint64(_BASES[0]))
+                rows = pa.array(at + doc)
+                pos = (i - np.searchsorted(of, doc, "left")).astype(np.int32)
+                cols = [b.column(0).take(rows), b.column(2).take(rows), pa.array(pos), pa.array(h.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "pos", "h"])
+
+    return run
+
+
+def _span_batches(n: int):
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = []
+            for found in b.column(2):
+                pos = np.sort(found.values.to_numpy())
+                breaks = np.flatnonzero(np.diff(pos) > n)
+                first, last = pos[np.append(0, breaks + 1)], pos[np.append(breaks, len(pos) - 1)] + n
+                spans.append([{"a": int(x), "b": int(y)} for x, y in zip(first, last, strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind)], names=["doc_id", "t", "spans"])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``(doc_id, t, spans array<struct<a, b>>)``: by id and hash of the text, the
+    stretches from word a to before word b that lie in runs of ``min_words`` words
+    that an earlier document (smaller id) holds too, wherever lines and sentences
+    begin; whatever white space stands between the words. A run that a text repeats
+    goes as often as one earlier document holds it.
+
+    Two runs are equal in all of their words, so in their anchor; runs whose anchor
+    two documents hold are compared by a hash of all their words. The first holder
+    stands for all, so neither an anchor nor a run is too frequent; the runs are
+    shuffled once and joined with one row per run."""
+    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    own = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
+    anchors = own.select("doc_id", "text").transform(arrow, _anchor_batches(min_words), "doc_id long, h long")
+    shared = shared_filter(cut(anchors.groupBy("h").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").select("h")))
+    runs = own.transform(arrow, _window_batches(min_words, shared), "doc_id long, t long, pos int, h long").repartition("h")
+    first = runs.groupBy("h").agg(F.min("doc_id").alias("o"))
+    hits = runs.join(first.hint("merge"), "h").where("o < doc_id").select("doc_id", "t", "pos")
+    each = hits.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("at"))
+    return each.transform(arrow, _span_batches(min_words), "doc_id long, t long, spans array<struct<a:int,b:int>>")
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, gone array<struct<pos, h>>, gone_words)`` for the documents that
     lose lines: the runs of at least ``min_words`` words of neighbouring lines
@@ -217,55 +378,104 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return per_doc.transform(arrow, _runs(min_words), "doc_id long, gone array<struct<pos:int,h:long>>, gone_words long")
 
 
-def without(text: str, gone: list) -> str:
+def _unspanned(part: str, at: int, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """A line, of which word ``at`` of the text is the first, without the words in
+    ``spans``; its number of words and of those that went."""
+    words = [m.span() for m in _WORDS.finditer(part)]
+    gone = sum(max(0, min(b, at + len(words)) - max(a, at)) for a, b in spans)
+    if not gone:
+        return part, len(words), 0
+    out, low = [], 0
+    for a, b in [*spans, (at + len(words), 0)]:
+        high = min(a - at, len(words))
+        if high > low:
+            out.append(part[words[low][0] : words[high - 1][1]])
+        low = max(low, b - at)
+    return " ".join(out), len(words), gone
+
+
+def rebuilt(text: str, gone: list, spans: list | None = None) -> tuple[str, int, int]:
     """``text`` without the lines at ``gone`` (position among the lines that aren't
-    blank, and hash: another row with this id keeps what differs). What is left is
-    joined by a line end where one stood between, else by the space."""
+    blank, and hash: another row with this id keeps what differs) and without the
+    words in ``spans``; the number of lines that went whole, and of words. What is
+    left is joined by a line end where one stood between, else by the space."""
     drop = {int(x["pos"]): int(x["h"]) & (1 << 64) - 1 for x in gone}
+    cuts = sorted((int(x["a"]), int(x["b"])) for x in spans or [])
     parts = _END.split(text)
     out: list[str] = []
     n, between = 0, ""
+    at = first = lost_lines = lost_words = 0
     for i in range(0, len(parts), 2):
         if i and between != "\n":
             between = parts[i - 1]
-        bare = parts[i].strip(BLANK)
+        part = parts[i]
+        bare = part.strip(BLANK)
         if bare:
             h = drop.get(n)
             n += 1
-            if h is not None and h == xxhash.xxh64_intdigest(bare, 42):
+            size = len(bare.encode("utf-8", "surrogatepass").split())
+            while first < len(cuts) and cuts[first][1] <= at:
+                first += 1
+            last = first
+            while last < len(cuts) and cuts[last][0] < at + size:
+                last += 1
+            whole = h is not None and h == xxhash.xxh64_intdigest(bare, 42)
+            if not whole and last > first:
+                part, _, some = _unspanned(part, at, cuts[first:last])
+                whole = some == size
+                lost_words += 0 if whole else some
+            at += size
+            if whole:
+                lost_lines += 1
+                lost_words += size
                 continue
         if out:
             out.append(between)
-        out.append(parts[i])
+        out.append(part)
         between = ""
-    return "".join(out)
+    return "".join(out), lost_lines, lost_words
+
 
+def without(text: str, gone: list, spans: list | None = None) -> str:
+    """What ``rebuilt`` leaves of ``text``."""
+    return rebuilt(text, gone, spans)[0]
 
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or g is None else without(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+
+def _rebuilt(text: pd.Series, t: pd.Series, gone: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    out = []
+    for x, h, lines_gone, found in zip(text, t, gone, runs, strict=True):
+        if x is None:
+            out.append((None, 0, 0))
+            continue
+        spans = [s for r in ([] if found is None else found) if r["t"] == h for s in r["spans"]]
+        out.append(rebuilt(x, [] if lines_gone is None else lines_gone, spans))
+    return pd.DataFrame(out, columns=["text", "lines", "words"])
 
 
 def dedup_flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, the text without what an earlier document
-    holds, plus ``_gone`` (lines deleted) and ``_gone_words``. Null ids, null texts
-    and rows that lose nothing stay as they are; rows that share an id all report what
-    is planned for it. Only changed texts go to Python;
-    the texts are shuffled once, by id."""
-    r = removals(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("_id"), "gone", "gone_words")
+    holds (aligned lines, and runs of words whatever their lines), plus ``_gone``
+    (lines deleted whole) and ``_gone_words``. Null ids, null texts and rows that
+    lose nothing stay as they are. Only changed texts go to Python; the texts are
+    shuffled once, by id."""
+    lost = removals(docs, id_col, text_col, min_words).select("doc_id", "gone", F.lit(None).cast("struct<t:long,spans:array<struct<a:int,b:int>>>").alias("run"))
+    spans = repeated_spans(docs, id_col, text_col, min_words).select("doc_id", F.lit(None).cast("array<struct<pos:int,h:long>>").alias("gone"), F.struct("t", "spans").alias("run"))
+    r = lost.unionByName(spans).groupBy("doc_id").agg(F.first("gone", ignorenulls=True).alias("_lines"), F.collect_list("run").alias("_runs")).withColumnRenamed("doc_id", "_id")
     both = docs.join(r, docs[id_col] == r["_id"], "left")
-    changed = F.col("gone").isNotNull() & F.col(text_col).isNotNull()
-    rebuilt = F.pandas_udf(_without, "string")
-    text = F.when(changed, rebuilt(F.when(changed, F.col(text_col)), F.col("gone"))).otherwise(F.col(text_col))
+    changed = F.col("_id").isNotNull() & F.col(text_col).isNotNull()
+    rebuild = F.pandas_udf(_rebuilt, "text string, lines int, words long")
+    both = both.withColumn("_new", F.when(changed, rebuild(F.when(changed, F.col(text_col).cast("string")), F.xxhash64(F.col(text_col).cast("string")), F.col("_lines"), F.col("_runs"))))
+    text = F.when(changed, F.col("_new.text")).otherwise(F.col(text_col))
     cols = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return both.select(*cols, F.coalesce(F.size("gone"), F.lit(0)).alias("_gone"), F.coalesce("gone_words", F.lit(0)).cast("long").alias("_gone_words"))
+    return both.select(*cols, F.coalesce("_new.lines", F.lit(0)).alias("_gone"), F.coalesce("_new.words", F.lit(0)).cast("long").alias("_gone_words"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents after deletion, same columns (``n_chars`` counted again). A
     document of which only blanks are left goes; one blank from the start stays."""
-    out = dedup_flagged(docs, min_words=min_words).where("not (_gone > 0 and trim(text) = '')")
+    out = dedup_flagged(docs, min_words=min_words).where("not (_gone_words > 0 and trim(text) = '')")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_gone_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -107,3 +107,40 @@ def test_rows_that_share_an_id_keep_what_differs(spark):
     got = sorted((r.text, r.n_chars) for r in linededup.dedup(df).where("doc_id = 2").collect())
     assert got == [("own", 3), ("something else\nown", 18)]
     assert linededup.dedup(df.limit(0)).count() == 0
+
+
+def repeated(rows, n):
+    """The words of each document in runs of ``n`` that an earlier one holds."""
+    gram = lambda w, i: tuple(w[i : i + n])
+    words = {i: t.split() for i, t in rows}
+    out = {}
+    for d, w in words.items():
+        held, seen, out[d] = {}, {}, set()
+        for o in words:
+            if o < d:
+                mine = {}
+                for i in range(len(words[o]) - n + 1):
+                    mine[gram(words[o], i)] = mine.get(gram(words[o], i), 0) + 1
+                held |= {g: max(c, held.get(g, 0)) for g, c in mine.items()}
+        for i in range(len(w) - n + 1):
+            seen[gram(w, i)] = seen.get(gram(w, i), 0) + 1
+            if seen[gram(w, i)] <= held.get(gram(w, i), 0):
+                out[d] |= set(range(i, i + n))
+    return out
+
+
+def test_runs_of_words_go_wherever_sentences_begin(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"é{rng.randrange(10**6)}" for _ in range(n))
+    long, marked, short = words(60), words(30) + '." ' + words(30), words(24)
+    rows = [(i, f"{words(7)} {rng.choice([long, marked])} {words(rng.randrange(9))}\n{words(4)} {short} {words(3)}. {rng.choice([long, marked, words(2)])}") for i in range(40)]
+    rows += [(50, " ".join(["one two three"] * 40)), (51, " ".join(["one two three"] * 50)), (52, long.replace(" ", "\n\t"))]
+    found = repeated(rows, linededup.MIN_WORDS)
+    assert any(found.values())
+    out = {r.doc_id: r for r in linededup.dedup_flagged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        want = [x for p, x in enumerate(t.split()) if p not in found[i]]
+        assert out[i].text.split() == want, i
+        assert out[i]._gone_words == len(found[i])
+        assert short in out[i].text or i >= 50
+    assert sum(" ".join(long.split()[20:45]) in r.text for r in out.values()) <= 2
