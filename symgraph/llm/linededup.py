@@ -1,4 +1,4 @@
-"""Line deduplication by pairwise patience alignment with the first holder."""
+"""Line deduplication by pairwise patience alignment, and by runs of words."""
 
 from __future__ import annotations
 
@@ -110,7 +110,7 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = lines(docs, id_col, text_col)
     owner = cut(every.groupBy("h").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").select("h", "o"))
     occ = lines(docs, id_col, text_col, shared_filter(owner))
-    return occ.join(owner, "h").groupBy("doc_id", "h", "o").agg(F.first("w").alias("w"), F.sort_array(F.collect_list("pos")).alias("at"))
+    return occ.join(owner, "h").repartition("doc_id").groupBy("doc_id", "h", "o").agg(F.first("w").alias("w"), F.sort_array(F.collect_list("pos")).alias("at"))
 
 
 def patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -165,14 +165,57 @@ def patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
+def partners(lines: list[tuple[int, int, int, list[int]]], doc: int, min_words: int) -> set[int]:
+    """The documents to align with, from a document's shared lines ``(h, o, w, at)``:
+    the first holders of the lines in runs of at least ``min_words`` words of lines
+    that earlier documents hold. No other line can go."""
+    rows = sorted((p, w, o) for _, o, w, at in lines if o < doc for p in at)
+    out: set[int] = set()
+    start = 0
+    for n in range(1, len(rows) + 1):
+        if n == len(rows) or rows[n][0] > rows[n - 1][0] + 1:
+            if sum(r[1] for r in rows[start:n]) >= min_words:
+                out.update(r[2] for r in rows[start:n])
+            start = n
+    return out
+
+
+def _partner_batches(min_words: int):
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("own", pa.bool_()), ("at", pa.list_(pa.int32()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs, others, found, size = [], [], [], 0
+            for d, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = [(x["h"], x["o"], x["w"], x["at"]) for x in lines]
+                for o in partners(rows, d, min_words):
+                    docs.append(d)
+                    others.append(o)
+                    # a line that was first held after the partner isn't the partner's
+                    found.append([{"h": h, "w": w, "own": first == o, "at": at} for h, first, w, at in rows if first <= o])
+                    size += len(found[-1])
+                    if size > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(others, pa.int64()), pa.array(found, kind)], names=["doc_id", "o", "lines"])
+                        docs, others, found, size = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(others, pa.int64()), pa.array(found, kind)], names=["doc_id", "o", "lines"])
+
+    return run
+
+
 def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs, positions, words, hashes = [], [], [], []
-        for d, common in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for d, lines, theirs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            there = {x["h"]: x["at"] for x in theirs}
+            common = [x for x in lines if x["h"] in there]
             mine = sorted((p, n) for n, c in enumerate(common) for p in c["at"])
-            other = sorted((p, n) for n, c in enumerate(common) for p in c["there"])
+            other = sorted((p, n) for n, c in enumerate(common) for p in there[c["h"]])
             which = dict(mine)
-            for p, _ in patience(mine, other):
+            hit = {p for p, _ in patience(mine, other)}
+            own = [c["own"] for c in common]
+            if not all(own):  # also by the lines that the partner holds first
+                hit |= {p for p, _ in patience([x for x in mine if own[x[1]]], [x for x in other if own[x[1]]])}
+            for p in hit:
                 docs.append(d)
                 positions.append(p)
                 words.append(common[which[p]]["w"])
@@ -316,14 +359,47 @@ def _window_batches(n: int, shared):
                 nth = np.empty(len(i), np.uint64)
                 nth[order] = count - np.maximum.accumulate(np.where(same, 0, count))
                 h = _mixed(h + nth * np.uint64(_BASES[0]))
-                rows = pa.array(at + doc)
-                pos = (i - np.searchsorted(of, doc, "left")).astype(np.int32)
-                cols = [b.column(0).take(rows), b.column(2).take(rows), pa.array(pos), pa.array(h.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "pos", "h"])
+                # one row for the runs around an anchor
+                new = np.ones(len(i), bool)
+                new[1:] = (np.diff(i) > 1) | (doc[1:] != doc[:-1]) | (least[i][1:] != least[i][:-1])
+                start = np.flatnonzero(new)
+                rows = pa.array(at + doc[start])
+                pos = (i[start] - np.searchsorted(of, doc[start], "left")).astype(np.int32)
+                bounds = pa.py_buffer((np.append(start, len(i)) * 8).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(start), [None, bounds, pa.py_buffer(np.ascontiguousarray(h))])
+                cols = [pa.array(least[i][start].view(np.int64)), b.column(0).take(rows), b.column(2).take(rows), pa.array(pos), packed]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "doc_id", "t", "pos", "runs"])
 
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        runs = [np.frombuffer(x, np.int64) for x in b.column(4).to_pylist()]
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        rows = pa.array(np.repeat(np.arange(len(runs)), sizes))
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        pos = (np.repeat(b.column(3).to_numpy(), sizes) + within).astype(np.int32)
+        h = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1).take(rows), b.column(2).take(rows), pa.array(pos)], names=["h", "doc_id", "t", "pos"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by run and id those whose id isn't the first of the run."""
+    last: tuple[int, int] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        new[0] = last is None or last[0] != h[0]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        first = np.where(at < 0, 0 if last is None else last[1], ids[at])
+        last = int(h[-1]), int(first[-1])
+        yield b.select(["doc_id", "t", "pos"]).filter(pa.array(ids > first))
+
+
 def _span_batches(n: int):
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
@@ -349,15 +425,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Two runs are equal in all of their words, so in their anchor; runs whose anchor
     two documents hold are compared by a hash of all their words. The first holder
-    stands for all, so neither an anchor nor a run is too frequent; the runs are
-    shuffled once and joined with one row per run."""
+    stands for all, so neither an anchor nor a run is too frequent; the runs around
+    an anchor are shuffled once, packed, and sorted where they arrive."""
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     own = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
     anchors = own.select("doc_id", "text").transform(arrow, _anchor_batches(min_words), "doc_id long, h long")
     shared = shared_filter(cut(anchors.groupBy("h").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").select("h")))
-    runs = own.transform(arrow, _window_batches(min_words, shared), "doc_id long, t long, pos int, h long").repartition("h")
-    first = runs.groupBy("h").agg(F.min("doc_id").alias("o"))
-    hits = runs.join(first.hint("merge"), "h").where("o < doc_id").select("doc_id", "t", "pos")
+    runs = own.transform(arrow, _window_batches(min_words, shared), "anchor long, doc_id long, t long, pos int, runs binary").repartition("anchor")
+    ordered = runs.transform(arrow, _unpacked, "h long, doc_id long, t long, pos int").sortWithinPartitions("h", "doc_id")
+    hits = ordered.transform(arrow, _later, "doc_id long, t long, pos int")
     each = hits.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("at"))
     return each.transform(arrow, _span_batches(min_words), "doc_id long, t long, spans array<struct<a:int,b:int>>")
 
@@ -367,13 +443,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     lose lines: the runs of at least ``min_words`` words of neighbouring lines
     that align with an earlier document (smaller id).
 
-    A later document is aligned with the first holders of its lines. Its group
-    holds only lines that the two share, so it is bounded by one document."""
-    each = cut(shared_lines(docs, id_col, text_col))
-    there = each.where("doc_id = o").select("h", F.col("at").alias("there"))
-    pairs = each.where("doc_id > o").join(there, "h")
-    pairs = pairs.groupBy("doc_id", "o").agg(F.collect_list(F.struct("h", "w", "at", "there")).alias("common")).select("doc_id", "common")
-    aligned = pairs.transform(arrow, _align_batches, "doc_id long, pos int, w int, h long")
+    A later document is aligned with each document that first holds one of its
+    lines in such a run (see ``partners``), by all lines that the two share, whoever
+    held them first. The join with the partners has one row per document on the
+    right, so a partner of very many documents may be split by adaptive execution."""
+    each = cut(shared_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("h", "o", "w", "at")).alias("lines")))
+    pairs = each.transform(arrow, _partner_batches(min_words), "doc_id long, o long, lines array<struct<h:long,w:int,own:boolean,at:array<int>>>")
+    theirs = each.select(F.col("doc_id").alias("o"), F.transform("lines", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"))).alias("theirs"))
+    aligned = pairs.join(theirs, "o").select("doc_id", "lines", "theirs").transform(arrow, _align_batches, "doc_id long, pos int, w int, h long")
     per_doc = aligned.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "w", "h")).alias("found"))
     return per_doc.transform(arrow, _runs(min_words), "doc_id long, gone array<struct<pos:int,h:long>>, gone_words long")
 

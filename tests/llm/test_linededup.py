@@ -144,3 +144,53 @@ def test_runs_of_words_go_wherever_sentences_begin(spark):
         assert out[i]._gone_words == len(found[i])
         assert short in out[i].text or i >= 50
     assert sum(" ".join(long.split()[20:45]) in r.text for r in out.values()) <= 2
+
+
+def whole_pairs(rows, min_words=linededup.MIN_WORDS):
+    """The lines that go when pairs of documents are aligned whole: each with the
+    first holders of its lines, by all lines that both hold."""
+    docs = {i: linededup.lines_of(t) for i, t in rows}
+    first, gone = {}, {}
+    for i in sorted(docs):
+        for line in docs[i]:
+            first.setdefault(line, i)
+
+    def runs(d, hit):
+        out, run = set(), []
+        for p in range(len(docs[d]) + 1):
+            if p in hit:
+                run.append(p)
+            else:
+                if sum(docs[d][q].count(" ") + 1 for q in run) >= min_words:
+                    out |= set(run)
+                run = []
+        return out
+
+    for d in docs:
+        near = runs(d, {p for p, x in enumerate(docs[d]) if first[x] < d})
+        hit = set()
+        for o in {first[docs[d][p]] for p in near}:
+            for held in (lambda x: True, lambda x, o=o: first[x] == o):
+                mine = [(p, x) for p, x in enumerate(docs[d]) if x in docs[o] and held(x)]
+                other = [(p, x) for p, x in enumerate(docs[o]) if x in docs[d] and held(x)]
+                hit |= {a for a, _ in linededup.patience(mine, other)}
+        gone[d] = runs(d, hit)
+    return gone
+
+
+def test_lines_are_aligned_with_the_document_that_shares_the_passage(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"{rng.choice('abc')}{rng.randrange(10**6)}" for _ in range(n))
+    ten = [line(20) for _ in range(10)]
+    short = ["Thanks.", "Yes.", "See below."]
+    rows = [(1, "\n".join([line(30), "Thanks.", line(30)])), (2, "\n".join(f"{x}\nThanks.\n{line(9)}" for x in ten)), (3, "\n".join(f"{x}\nThanks." for x in ten))]
+    for i in range(4, 40):
+        some = rng.sample(ten, rng.randrange(4)) + [line(rng.randrange(3, 20)) for _ in range(3)] + rng.choices(short, k=4)
+        rng.shuffle(some)
+        rows.append((i, "\n".join(some)))
+    gone = whole_pairs(rows)
+    assert gone[3] == set(range(20)) != brute(rows)[3] and sum(map(bool, gone.values())) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {x["pos"] for x in r.gone} for r in linededup.removals(df).collect()}
+    assert got == {i: g for i, g in gone.items() if g}
+    assert all(r.doc_id != 3 for r in linededup.dedup(df).collect())
