@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -58,6 +59,10 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _simhash_series(texts: pd.Series) -> pd.Series:
+    return pd.Series(np.fromiter(map(simhash, texts), np.uint64, len(texts)).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id long, fp long)``: the 64-bit SimHash of each whole text over its
     3-word shingles (A-Z lower-cased; fewer words: one shingle of all; null or
@@ -108,6 +113,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies collapse to one fingerprint before any join, so a group of copies,
     however large, costs one row; its members are only counted.
     """
+    return _grouped(docs, id_col, text_col, radius, hot).drop("node")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, hot: int = HOT_BUCKET) -> DataFrame:
+    """The rows of ``near_duplicates``, and ``node``, a fingerprint that names the
+    component also where another has the same smallest id."""
     each = cut(fingerprints(docs, id_col, text_col))
     g = cut(each.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")))
     pairs = cut(near_pairs(g.select("fp"), radius, hot))
@@ -115,28 +126,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = both.join(g.select(F.col("fp").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked"))
     cc = connected_components(pairs)
     least = cc.join(g.select(F.col("fp").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
-    found = linked.join(cc.withColumnRenamed("node", "a"), "a").join(least, "component").select(F.col("a").alias("fp"), "linked", "least")
+    found = linked.join(cc.withColumnRenamed("node", "a"), "a").join(least, "component").select(F.col("a").alias("fp"), "linked", "least", F.col("component").alias("root"))
     per_fp = g.join(found, "fp", "left").select(
-        "fp", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_near"), F.coalesce("least", "rep").alias("component_id")
+        "fp", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_near"), F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "fp").alias("node")
     )
-    return each.join(per_fp, "fp").select("doc_id", "fp", "n_near", "component_id")
+    return each.join(per_fp, "fp").select("doc_id", "fp", "n_near", "component_id", "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the
-    document with the smallest id stays. Rows with a null id stay too; of rows
-    that repeat the kept id one stays."""
-    found = near_duplicates(docs, id_col, text_col, radius)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
-    twice = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """The rows of ``docs`` without near-duplicates: of each component one row of
+    its smallest id stays, of several that one with the smallest fingerprint. Rows
+    of other components with the same id are judged on their own. Rows with a null
+    id stay too."""
+    found = cut(_grouped(docs, id_col, text_col, radius).select("doc_id", "fp", "component_id", "node"))
+    keep = cut(found.where("doc_id = component_id").groupBy("node").agg(F.min("fp").alias("_fp"), F.first("doc_id").alias("_keep")).select("_keep", "_fp"))
+    kept = docs.join(keep.select("_keep").distinct(), docs[id_col] == F.col("_keep"), "left_semi")
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
     nulls = docs.where(F.col(id_col).isNull())
-    if twice.isEmpty():
+    if again.isEmpty():
         return kept.unionByName(nulls)
-    again = twice.select(F.col("doc_id").alias("_twice"))
     once = kept.join(again, kept[id_col] == again["_twice"], "left_anti")
-    rest = kept.join(again, kept[id_col] == again["_twice"], "left_semi").dropDuplicates([id_col])
-    return once.unionByName(rest).unionByName(nulls)
+    # only rows that share an id need their own fingerprint
+    rest = kept.join(again, kept[id_col] == again["_twice"], "left_semi").withColumn("_own", F.pandas_udf(_simhash_series, "long")(F.col(text_col).cast("binary")))
+    rest = rest.join(keep, (rest[id_col] == keep["_keep"]) & (rest["_own"] == keep["_fp"]), "left_semi").dropDuplicates([id_col, "_own"])
+    return once.unionByName(rest.select(*docs.columns)).unionByName(nulls)
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:

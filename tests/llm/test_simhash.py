@@ -85,3 +85,10 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_judges_rows_that_share_an_id_by_component(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(7, text(i)) for i in range(12)] + [(7, text(3)), (8, text(4)), (1, text(5)), (9, text(20)), (9, text(21)), (None, text(0))]
+    got = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(7, text(i)) for i in range(12) if i != 5] + [(1, text(5)), (9, text(20)), (9, text(21)), (0, text(0))])
