@@ -237,10 +237,10 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 20) -> Data
     Documents without words have nothing to give and go. The texts are shuffled
     once, by id (by text where the id is null)."""
     names = docs.columns
-    p = plan(docs, block=block, seed=seed, ranges=True).where("taken > 0")
+    p = plan(docs, block=block, seed=seed, ranges=True)
     key = F.coalesce(F.col("doc_id").cast("long"), F.col("_thash"))
     order = Window.partitionBy("_key").orderBy("_thash", "source")
-    p = plan_key(p)
+    p = plan_key(p).where("_ptaken > 0")  # numbered with the rows that give nothing
     d = docs.withColumn("_thash", F.xxhash64("text")).withColumn("_key", key)
     d = d.withColumn("_ord", F.row_number().over(order))
     # the ordinal is no join key, so that the rows stay where the window put them
@@ -275,7 +275,7 @@ def plan_key(p: DataFrame) -> DataFrame:
     """The plan's rows by the key and ordinal of their document."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.col("thash"))
     p = p.withColumn("_pkey", key).withColumn("_pord", F.row_number().over(Window.partitionBy("_pkey").orderBy("thash", "source")))
-    return p.select("_pkey", "_pord", F.col("thash").alias("_pthash"), F.col("size").alias("_psize"), F.col("ranges").alias("_pranges"))
+    return p.select("_pkey", "_pord", F.col("thash").alias("_pthash"), F.col("size").alias("_psize"), F.col("ranges").alias("_pranges"), F.col("taken").alias("_ptaken"))
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:

@@ -85,3 +85,13 @@ def test_empty(spark):
     assert mixing.op6_mixing(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
     none = df.where("text is null")
     assert [r.taken for r in mixing.op6_mixing(none).collect()] == [0, 0]
+
+
+def test_texts_that_share_an_id_with_texts_that_give_nothing(spark):
+    texts = ["", None, " \t"] + [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(60)]
+    df = spark.createDataFrame([(i % 3, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.plan(df).groupBy("doc_id").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "taken").collect()}
+    words = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        words[r.doc_id] += len(r.text.split())
+    assert words == taken and sum(taken.values()) > 0
