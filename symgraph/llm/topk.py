@@ -112,6 +112,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10, tile: int = T
     """``(query_id, rank, vec_id, score)``: for each vector of ``queries(vec_id, v)``
     its ``k`` largest inner products with ``candidates(vec_id, v)`` of the same
     length, rows with its own id left out, ties to the smaller id, from rank 1.
+    Every row of a repeated query id is searched, and the ``k`` best of all of them
+    together are ranked under the id, as the SQL does.
 
     Candidates are packed where they lie into tiles, queries into blocks; every
     block meets every tile in one matrix product with a partial selection. Tiles
@@ -119,10 +121,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10, tile: int = T
     whole in one place. The lists are merged per query: each task keeps its best
     k (window group limit) before the shuffle, the rest after it."""
     spark = queries.sparkSession
-    q = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n = queries.count()
     groups = max(1, spark.sparkContext.defaultParallelism)
-    packed = q.repartition(-(-n // block) or 1).transform(arrow, _pack(block), _PACKED)
+    packed = queries.repartition(-(-n // block) or 1).transform(arrow, _pack(block), _PACKED)
     blocks = packed.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q_group"))
     tiles = candidates.transform(arrow, _pack(tile), _PACKED).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
     met = tiles.join(blocks, (F.col("group") == F.col("q_group")) & (F.col("dim") == F.col("q_dim")))

@@ -47,3 +47,10 @@ def test_products_are_exact():
         a, b = rng.integers(-top, top, (3, 5)), rng.integers(-top, top, (4, 5))
         want = np.clip(a.astype(object) @ b.astype(object).T, -(1 << 63), (1 << 63) - 1)
         assert (topk.products(a, b).astype(object) == want).all()
+
+
+def test_every_vector_of_a_repeated_query_id_is_searched(spark):
+    rows = [(100, [1, 0]), (100, [0, 1]), (1, [9, 0]), (2, [0, 8]), (3, [1, 1])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.search(v.where("vec_id = 100"), v, k=3).orderBy("rank").collect()]
+    assert got == [(1, 1, 9), (2, 2, 8), (3, 3, 1)]
