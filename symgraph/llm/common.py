@@ -5,10 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are the maximal runs of anything but the six ASCII white-space characters.
@@ -42,10 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_ordinal(df: DataFrame, key: str, order: Sequence[Column], name: str) -> DataFrame:
-    """Numbers the rows that share a key, so that (key, ordinal) identifies a row
-    even where the key repeats. Rows equal in ``order`` are interchangeable."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of ``df`` has, whatever case counts."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -113,3 +116,51 @@ def arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             give_back()
 
     return df.mapInArrow(run, schema)
+
+
+#: Cells of a filter of hashes (16 MB), and of the parts it is made in.
+FILTER_CELLS, RANGE_CELLS = 1 << 27, 1 << 20
+
+
+def _filter_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap for each range of cells, from rows (range, h) sorted by range."""
+
+    def close() -> pa.RecordBatch:
+        bits = np.packbits(mark, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits], pa.binary())], names=["range", "bits"])
+
+    at, mark = None, np.zeros(RANGE_CELLS, bool)
+    for b in batches:
+        ranges, h = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        for r in np.unique(ranges):
+            if r != at:
+                if at is not None:
+                    yield close()
+                at, mark = int(r), np.zeros(RANGE_CELLS, bool)
+            mark[(h[ranges == r] & np.uint64(RANGE_CELLS - 1)).astype(np.int64)] = True
+    if at is not None:
+        yield close()
+
+
+class Filter:
+    """A broadcast bit per cell of a set of hashes (16 MB, whatever their number).
+    It lets other hashes through, so a join has to follow; where it fills up, that
+    costs shuffle, not results."""
+
+    def __init__(self, bits):
+        self.bits = bits
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which of the hashes (unsigned) may be in the set."""
+        cell = (h & np.uint64(FILTER_CELLS - 1)).astype(np.int64)
+        return (np.frombuffer(self.bits.value, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def shared_filter(hashes: DataFrame) -> Filter:
+    """The filter of the hashes in ``hashes(h)``."""
+    cell = F.col("h").bitwiseAND(F.lit(FILTER_CELLS - 1))
+    ranged = hashes.select(F.floor(cell / RANGE_CELLS).cast("int").alias("range"), "h").repartition("range").sortWithinPartitions("range")
+    bits = np.zeros(FILTER_CELLS // 8, np.uint8)
+    for r in ranged.transform(arrow, _filter_batches, "range int, bits binary").collect():
+        bits[r["range"] * RANGE_CELLS // 8 : (r["range"] + 1) * RANGE_CELLS // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return Filter(hashes.sparkSession.sparkContext.broadcast(bits.tobytes()))

@@ -1,256 +1,29 @@
-"""Line deduplication by pairwise patience alignment, and by runs of words."""
+"""Line deduplication by pairwise patience alignment."""
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import WORD, arrow, cut
-
-#: What is stripped from a line before it is hashed.
-BLANK = " \t\r\x0b\f"
-#: Lines end at line ends, and at a space after a sentence's end, so that a passage
-#: inside a paragraph has lines of its own.
-_END = re.compile(r"((?<=[.!?]) |\n)")
-_WORDS = re.compile(WORD)
-#: Aligned runs of fewer words than this stay (license lines, headings).
-MIN_WORDS = 25
-#: Words of an anchor: of the grams within MIN_WORDS words the one with the least hash
-#: is an anchor, so that equal runs of so many words have an anchor in common.
-ANCHOR_WORDS = 8
-#: Bytes of text that are hashed word by word at once.
-HASHED_BYTES = 1 << 19
-#: Cells of the filter that keeps lines of one document from a second shuffle.
-FILTER_CELLS, RANGE_CELLS = 1 << 27, 1 << 20
-
-
-def lines_of(text: str | None) -> list[str]:
-    """The stripped lines of a text that aren't blank."""
-    return [b for x in _END.split(text or "")[::2] if (b := x.strip(BLANK))]
-
-
-def _line_batches(shared: bytes | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if shared is None else np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            found = [lines_of(t) for t in b.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = [x for f in found for x in f]
-            h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in flat), np.uint64, len(flat))
-            w = np.fromiter((x.count(" ") + 1 for x in flat), np.int32, len(flat))
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
-            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            out = pa.RecordBatch.from_arrays([ids, pa.array(pos), pa.array(h.view(np.int64)), pa.array(w)], names=["doc_id", "pos", "h", "w"])
-            if bits is not None:
-                cell = (h & np.uint64(FILTER_CELLS - 1)).astype(np.int64)
-                out = out.filter(pa.array((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
-            yield out
-
-    return run
-
-
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shared=None) -> DataFrame:
-    """``(doc_id, pos, h, w)``: the lines of each text that aren't blank, by position
-    among these, with a 64-bit hash of the stripped line and its number of words
-    (spaces + 1); with a filter ``shared`` only those that may be in it. Rows with
-    a null id give none."""
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return own.transform(arrow, _line_batches(shared), "doc_id long, pos int, h long, w int")
-
-
-def _filter_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bitmap for each range of cells, from rows (range, h) sorted by range."""
-
-    def close() -> pa.RecordBatch:
-        bits = np.packbits(mark, bitorder="little").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits], pa.binary())], names=["range", "bits"])
-
-    at, mark = None, np.zeros(RANGE_CELLS, bool)
-    for b in batches:
-        ranges, h = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        for r in np.unique(ranges):
-            if r != at:
-                if at is not None:
-                    yield close()
-                at, mark = int(r), np.zeros(RANGE_CELLS, bool)
-            mark[(h[ranges == r] & np.uint64(RANGE_CELLS - 1)).astype(np.int64)] = True
-    if at is not None:
-        yield close()
-
-
-def shared_filter(owner: DataFrame):
-    """A broadcast bit per cell (16 MB, whatever the input) of the hashes in
-    ``owner(h)``. Full cells let lines through that the join then drops, so a
-    filter that fills up costs shuffle, not results."""
-    cell = F.col("h").bitwiseAND(F.lit(FILTER_CELLS - 1))
-    ranged = owner.select(F.floor(cell / RANGE_CELLS).cast("int").alias("range"), "h").repartition("range").sortWithinPartitions("range")
-    bits = np.zeros(FILTER_CELLS // 8, np.uint8)
-    for r in ranged.transform(arrow, _filter_batches, "range int, bits binary").collect():
-        bits[r["range"] * RANGE_CELLS // 8 : (r["range"] + 1) * RANGE_CELLS // 8] = np.frombuffer(bytes(r.bits), np.uint8)
-    return owner.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-
-def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, h, o, w, at)``: the lines that at least two documents hold, once
-    per document with their positions ``at``, and their first holder ``o``.
-
-    The first holder stands for all holders of a line, so a line costs one pair
-    per document however many share it, and none is capped. The minimum is
-    pre-aggregated; the join has one row per line on the right, so a line of a
-    third of all documents may be split by adaptive execution. Lines of one
-    document are held back by a filter before that join."""
-    every = lines(docs, id_col, text_col)
-    owner = cut(every.groupBy("h").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").select("h", "o"))
-    occ = lines(docs, id_col, text_col, shared_filter(owner))
-    return occ.join(owner, "h").repartition("doc_id").groupBy("doc_id", "h", "o").agg(F.first("w").alias("w"), F.sort_array(F.collect_list("pos")).alias("at"))
-
-
-def patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Patience diff of two sequences of ``(position, line)``: the aligned
-    positions. Lines that occur once on either side and their longest increasing
-    run are anchors; common lines next to an anchor (or to the ends) are taken
-    along, and the gaps between are aligned in the same way."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        i, j, k, m = todo.pop()
-        while i < j and k < m and a[i][1] == b[k][1]:
-            out.append((a[i][0], b[k][0]))
-            i, k = i + 1, k + 1
-        while i < j and k < m and a[j - 1][1] == b[m - 1][1]:
-            j, m = j - 1, m - 1
-            out.append((a[j][0], b[m][0]))
-        if i >= j or k >= m:
-            continue
-        once_a: dict[int, int] = {}
-        for x in range(i, j):
-            once_a[a[x][1]] = -1 if a[x][1] in once_a else x
-        once_b: dict[int, int] = {}
-        for x in range(k, m):
-            once_b[b[x][1]] = -1 if b[x][1] in once_b else x
-        common = [(x, once_b[line]) for line, x in once_a.items() if x >= 0 and once_b.get(line, -1) >= 0]
-        common.sort()
-        # longest increasing run of the second member, by piles
-        tops: list[int] = []
-        last: list[int] = []
-        back: list[int] = [-1] * len(common)
-        for n, (_, y) in enumerate(common):
-            p = bisect_left(tops, y)
-            back[n] = last[p - 1] if p else -1
-            if p == len(tops):
-                tops.append(y)
-                last.append(n)
-            else:
-                tops[p], last[p] = y, n
-        anchors, n = [], last[-1] if last else -1
-        while n >= 0:
-            anchors.append(common[n])
-            n = back[n]
-        if not anchors:
-            continue
-        right_a, right_b = j, m
-        for x, y in anchors:  # from the last to the first
-            out.append((a[x][0], b[y][0]))
-            todo.append((x + 1, right_a, y + 1, right_b))
-            right_a, right_b = x, y
-        todo.append((i, right_a, k, right_b))
-    return out
-
-
-def partners(lines: list[tuple[int, int, int, list[int]]], doc: int, min_words: int) -> set[int]:
-    """The documents to align with, from a document's shared lines ``(h, o, w, at)``:
-    the first holders of the lines in runs of at least ``min_words`` words of lines
-    that earlier documents hold. No other line can go."""
-    rows = sorted((p, w, o) for _, o, w, at in lines if o < doc for p in at)
-    out: set[int] = set()
-    start = 0
-    for n in range(1, len(rows) + 1):
-        if n == len(rows) or rows[n][0] > rows[n - 1][0] + 1:
-            if sum(r[1] for r in rows[start:n]) >= min_words:
-                out.update(r[2] for r in rows[start:n])
-            start = n
-    return out
-
-
-def _partner_batches(min_words: int):
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("own", pa.bool_()), ("at", pa.list_(pa.int32()))]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, others, found, size = [], [], [], 0
-            for d, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(x["h"], x["o"], x["w"], x["at"]) for x in lines]
-                for o in partners(rows, d, min_words):
-                    docs.append(d)
-                    others.append(o)
-                    # a line that was first held after the partner isn't the partner's
-                    found.append([{"h": h, "w": w, "own": first == o, "at": at} for h, first, w, at in rows if first <= o])
-                    size += len(found[-1])
-                    if size > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(others, pa.int64()), pa.array(found, kind)], names=["doc_id", "o", "lines"])
-                        docs, others, found, size = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(others, pa.int64()), pa.array(found, kind)], names=["doc_id", "o", "lines"])
-
-    return run
-
-
-def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        docs, positions, words, hashes = [], [], [], []
-        for d, lines, theirs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            there = {x["h"]: x["at"] for x in theirs}
-            common = [x for x in lines if x["h"] in there]
-            mine = sorted((p, n) for n, c in enumerate(common) for p in c["at"])
-            other = sorted((p, n) for n, c in enumerate(common) for p in there[c["h"]])
-            which = dict(mine)
-            hit = {p for p, _ in patience(mine, other)}
-            own = [c["own"] for c in common]
-            if not all(own):  # also by the lines that the partner holds first
-                hit |= {p for p, _ in patience([x for x in mine if own[x[1]]], [x for x in other if own[x[1]]])}
-            for p in hit:
-                docs.append(d)
-                positions.append(p)
-                words.append(common[which[p]]["w"])
-                hashes.append(common[which[p]]["h"])
-        cols = [pa.array(docs, pa.int64()), pa.array(positions, pa.int32()), pa.array(words, pa.int32()), pa.array(hashes, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pos", "w", "h"])
-
-
-def _runs(min_words: int):
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, gone, words = [], [], []
-            for d, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = sorted({(x["pos"], x["w"], x["h"]) for x in found})
-                keep: list[dict] = []
-                total = start = 0
-                for n in range(1, len(rows) + 1):
-                    if n == len(rows) or rows[n][0] > rows[n - 1][0] + 1:
-                        size = sum(r[1] for r in rows[start:n])
-                        if size >= min_words:
-                            keep += [{"pos": r[0], "h": r[2]} for r in rows[start:n]]
-                            total += size
-                        start = n
-                if keep:
-                    docs.append(d)
-                    gone.append(keep)
-                    words.append(total)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gone, kind), pa.array(words, pa.int64())], names=["doc_id", "gone", "gone_words"])
-
-    return run
+from symgraph.llm.common import arrow, cut, fresh, shared_filter
 
+#: Words of a line, and places of which one begins a line: texts that share
+#: LINE_WORDS + PLACES - 1 words in a row share a line.
+LINE_WORDS, PLACES = 25, 8
+#: Bytes of text that are hashed at once.
+HASHED_BYTES = 1 << 19
+#: Words beside a line that go with it.
+_SIDE = 2 * PLACES
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Lead bytes of the characters of scripts without spaces: a word each.
+_ALONE = (np.arange(256) >= 0xE3) & (np.arange(256) <= 0xE9)
 _BYTE = np.random.default_rng(7).integers(1, 1 << 64, 256, dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _powers: dict[int, np.ndarray] = {}
@@ -259,7 +32,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     """The powers 0 to n - 1 of a number modulo 2^64."""
     if len(_powers.get(base, ())) < n:
-        new = np.full(max(n, HASHED_BYTES + 1), base, np.uint64)
+        new = np.full(max(n, HASHED_BYTES + 2), base, np.uint64)
         new[0] = 1
         if len(new) > HASHED_BYTES * 4:  # a very long text: not kept
             return np.cumprod(new)
@@ -280,288 +53,359 @@ def _hashed(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -
     return _mixed((sums[end] - sums[start]) * _power(pow(base, -1, 1 << 64), len(values) + 1)[start])
 
 
+def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte, and byte after the last, of each word: a run of anything but the
+    six ASCII white-space characters, but an ideograph or a kana is a word itself."""
+    space = _SPACE[buf]
+    edge = np.diff(space, prepend=True, append=True)
+    if len(buf) and buf.max() >= 0xE3:
+        alone = np.flatnonzero(_ALONE[buf])
+        if len(alone):
+            edge[alone] = edge[np.minimum(alone + 3, len(buf))] = True
+            at = np.flatnonzero(edge)
+            solid = ~space[at[:-1]]
+            return at[:-1][solid], at[1:][solid]
+    at = np.flatnonzero(edge)
+    return at[::2], at[1::2]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the words of all texts, and the text each is of."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    edges = np.flatnonzero(np.diff(_SPACE[buf], prepend=True))
-    start, end = edges[::2], edges[1::2]
+    start, end = word_bounds(buf)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    return _hashed(_BYTE[buf], start, end, _BASES[0]), np.searchsorted(ends, start, "right")
+    of = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, ends), prepend=0))
+    return _hashed(_BYTE[buf], start, end, _BASES[0]), of
 
 
-def _grams(words: np.ndarray, n: int) -> np.ndarray:
-    at = np.arange(len(words) - n + 1)
-    return _hashed(words, at, at + n, _BASES[1])
+def _long_hashes(text: bytes) -> np.ndarray:
+    """The word hashes of a long text, by parts that end at white space."""
+    out, at = [], 0
+    while at < len(text):
+        to = at + HASHED_BYTES
+        while to < len(text) and not _SPACE[text[to]]:
+            to += 1
+        out.append(word_hashes([text[at:to]])[0])
+        at = to
+    return np.concatenate(out)
 
 
-def _extreme(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum or maximum of each ``width`` neighbours."""
-    have = 1
-    while have * 2 <= width:
-        x, have = f(x[:-have], x[have:]), have * 2
-    return f(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
-
-
-def _hashed_slices(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row of the first text, hashes of words and their texts, by HASHED_BYTES."""
+def _slices(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of the first text, hashes of words and their texts, by HASHED_BYTES."""
     some: list[bytes] = []
     size = at = 0
-    for i, t in enumerate(b.column(1).to_pylist()):
-        if some and size + len(t or b"") > HASHED_BYTES:
+    for i, t in enumerate(texts):
+        t = t or b""
+        if some and size + len(t) > HASHED_BYTES:
             yield at, *word_hashes(some)
             some, size, at = [], 0, i
-        some.append(t or b"")
-        size += len(some[-1])
+        if len(t) > HASHED_BYTES:
+            h = _long_hashes(t)
+            yield i, h, np.zeros(len(h), np.int64)
+            at = i + 1
+            continue
+        some.append(t)
+        size += len(t)
     if some:
         yield at, *word_hashes(some)
 
 
-def _windows(words: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchor grams, the least hash within each run of ``n`` words,
-    and whether the run lies in one text."""
-    size = min(ANCHOR_WORDS, n)
-    grams = _grams(words, size)
-    return grams, _extreme(np.minimum, grams, n - size + 1), of[: len(of) - n + 1] == of[n - 1 :]
-
+def lines_in(words: np.ndarray, of: np.ndarray, n: int = LINE_WORDS, places: int = PLACES) -> tuple[np.ndarray, np.ndarray]:
+    """The word at which each line begins, and its hash. In each text, of ``places``
+    neighbouring places (fewer at its ends) the one whose ``n`` words have the
+    least hash, the last of equal ones, begins a line. The m-th occurrence of a
+    line in a text has another hash than the first."""
+    if len(words) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(len(words) - n + 1)
+    h = _hashed(words, at, at + n, _BASES[1])
+    inside = of[: len(h)] == of[n - 1 :]
+    top = np.uint64((1 << 64) - 1)
+    h[~inside] = top
+    low = np.concatenate([np.full(places - 1, top), h, np.full(places - 1, top)])
+    place = np.arange(len(low))
+    have = 1
+    while have < places:
+        step = min(have, places - have)
+        right = low[step:] <= low[:-step]
+        low, place = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step])
+        have += step
+    place = place[np.diff(place, prepend=-1) > 0] - (places - 1)
+    place = place[(place >= 0) & (place < len(h))]
+    place = place[inside[place]]
+    h, doc = h[place], of[place]
+    order = np.lexsort((h, doc))
+    same = np.zeros(len(order), bool)
+    same[1:] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    if same.any():
+        count = np.arange(len(order))
+        nth = np.empty(len(order), np.uint64)
+        nth[order] = count - np.maximum.accumulate(np.where(same, 0, count))
+        h = np.where(nth > 0, _mixed(h + nth * np.uint64(_BASES[0])), h)
+    return place, h
+
+
+def _line_batches(shared=None):
+    """(h, doc_id) of all lines; with a filter, (h, doc_id, at, side) of those in it."""
 
-def _anchor_batches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, words, of in _hashed_slices(b):
-                if len(words) < n:
+            texts = b.column(2).to_pylist()
+            ids, marks = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+            for first, words, of in _slices(texts):
+                place, h = lines_in(words, of)
+                if shared is not None:
+                    held = shared.holds(h)
+                    place, h = place[held], h[held]
+                if not len(h):
+                    continue
+                cols = [pa.array(h.view(np.int64)), ids.take(pa.array(first + of[place]))]
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays(cols, names=["h", "doc_id"])
                     continue
-                _, least, inside = _windows(words, of, n)
-                new = inside.copy()  # each anchor once for the windows that share it
-                new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1] | (of[1 : len(inside)] != of[: len(inside) - 1])
-                i = np.flatnonzero(new)
-                ids = b.column(0).take(pa.array(at + of[i]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(least[i].view(np.int64))], names=["doc_id", "h"])
+                begin, end = (np.searchsorted(of, of[place], x)[:, None] for x in ("left", "right"))
+                at = (marks[first + of[place]] << 32) | (place - begin[:, 0])
+                near = place[:, None] + np.concatenate([np.arange(-PLACES, 0), np.arange(LINE_WORDS, LINE_WORDS + PLACES)])
+                short = np.maximum(words >> np.uint64(48), 1).astype(np.uint16)[np.clip(near, 0, len(words) - 1)]
+                side = np.ascontiguousarray(np.where((near >= begin) & (near < end), short, np.uint16(0)))
+                bounds = pa.py_buffer((np.arange(len(h) + 1) * 2 * _SIDE).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(h), [None, bounds, pa.py_buffer(side)])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at), packed], names=["h", "doc_id", "at", "side"])
 
     return run
 
 
-def _window_batches(n: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            for at, words, of in _hashed_slices(b):
-                if len(words) < n:
-                    continue
-                _, least, inside = _windows(words, of, n)
-                cell = (least & np.uint64(FILTER_CELLS - 1)).astype(np.int64)
-                i = np.flatnonzero(inside & ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
-                h, doc = _grams(words, n)[i], of[i]
-                # the m-th occurrence in a text is told from the others
-                order = np.lexsort((h, doc))
-                same = np.zeros(len(i), bool)
-                same[1:] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-                count = np.arange(len(i))
-                nth = np.empty(len(i), np.uint64)
-                nth[order] = count - np.maximum.accumulate(np.where(same, 0, count))
-                h = _mixed(h + nth * np.uint64(_BASES[0]))
-                # one row for the runs around an anchor
-                new = np.ones(len(i), bool)
-                new[1:] = (np.diff(i) > 1) | (doc[1:] != doc[:-1]) | (least[i][1:] != least[i][:-1])
-                start = np.flatnonzero(new)
-                rows = pa.array(at + doc[start])
-                pos = (i[start] - np.searchsorted(of, doc[start], "left")).astype(np.int32)
-                bounds = pa.py_buffer((np.append(start, len(i)) * 8).astype(np.int32))
-                packed = pa.Array.from_buffers(pa.binary(), len(start), [None, bounds, pa.py_buffer(np.ascontiguousarray(h))])
-                cols = [pa.array(least[i][start].view(np.int64)), b.column(0).take(rows), b.column(2).take(rows), pa.array(pos), packed]
-                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "doc_id", "t", "pos", "runs"])
-
-    return run
+def _sides(col: pa.Array) -> np.ndarray:
+    start, end = np.frombuffer(col.buffers()[1], np.int32)[[col.offset, col.offset + len(col)]]
+    return np.frombuffer(col.buffers()[2], np.uint8)[start:end].copy().view(np.uint16).reshape(len(col), _SIDE)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        runs = [np.frombuffer(x, np.int64) for x in b.column(4).to_pylist()]
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        rows = pa.array(np.repeat(np.arange(len(runs)), sizes))
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        pos = (np.repeat(b.column(3).to_numpy(), sizes) + within).astype(np.int32)
-        h = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1).take(rows), b.column(2).take(rows), pa.array(pos)], names=["h", "doc_id", "t", "pos"])
-
-
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by run and id those whose id isn't the first of the run."""
-    last: tuple[int, int] | None = None
+def _extend_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words to both sides of a line that a document and the first holder share."""
     for b in batches:
         if not b.num_rows:
             continue
-        h, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        new[0] = last is None or last[0] != h[0]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        first = np.where(at < 0, 0 if last is None else last[1], ids[at])
-        last = int(h[-1]), int(first[-1])
-        yield b.select(["doc_id", "t", "pos"]).filter(pa.array(ids > first))
-
-
-def _span_batches(n: int):
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = []
-            for found in b.column(2):
-                pos = np.sort(found.values.to_numpy())
-                breaks = np.flatnonzero(np.diff(pos) > n)
-                first, last = pos[np.append(0, breaks + 1)], pos[np.append(breaks, len(pos) - 1)] + n
-                spans.append([{"a": int(x), "b": int(y)} for x, y in zip(first, last, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind)], names=["doc_id", "t", "spans"])
+        same = _sides(b.column(4)) == _sides(b.column(5))
+        left = np.cumprod(same[:, PLACES - 1 :: -1], axis=1).sum(axis=1)
+        right = np.cumprod(same[:, PLACES:], axis=1).sum(axis=1)
+        at, there = (b.column(i).to_numpy() for i in (1, 3))
+        pos, other = at & 0xFFFFFFFF, there & 0xFFFFFFFF
+        left = np.minimum(np.minimum(pos, other), left)
+        cols = [b.column(0), pa.array(at >> 32), b.column(2), *(pa.array(x.astype(np.int32)) for x in (pos, other, left, right))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "o", "pos", "other", "l", "r"])
+
+
+def patience(other: np.ndarray) -> np.ndarray:
+    """The indexes of a longest increasing run of ``other`` (distinct numbers), by piles."""
+    if len(other) < 2 or (np.diff(other) > 0).all():
+        return np.arange(len(other))
+    tops: list[int] = []
+    last: list[int] = []
+    back: list[int] = []
+    for n, y in enumerate(other.tolist()):
+        p = bisect_left(tops, y)
+        back.append(last[p - 1] if p else -1)
+        if p == len(tops):
+            tops.append(y)
+            last.append(n)
+        else:
+            tops[p], last[p] = y, n
+    out, n = [], last[-1]
+    while n >= 0:
+        out.append(n)
+        n = back[n]
+    return np.array(out[::-1])
+
+
+def align(pos: np.ndarray, other: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The common blocks of a document and a partner, from their common lines at
+    word ``pos`` and ``other`` with ``left`` and ``right`` further equal words:
+    ``(first word, word after the last, first word in the partner, pass)``.
+
+    Lines occur once on either side (a repeated line by its number), so all are
+    anchors of the patience diff: a longest run of lines in the order of both is
+    aligned, neighbours at one distance make a block. What is left has moved; it
+    is aligned again (the next pass), until no common line is left."""
+    order = np.argsort(pos, kind="stable")
+    pos, other, left, right = pos[order], other[order], left[order], right[order]
+    out = []
+    rest, turn = np.arange(len(pos)), 0
+    while len(rest):
+        hit = patience(other[rest])
+        i = rest[hit]
+        a, b, shift = pos[i] - left[i], pos[i] + LINE_WORDS + right[i], other[i] - pos[i]
+        new = np.ones(len(i), bool)
+        new[1:] = (shift[1:] != shift[:-1]) | (a[1:] > b[:-1])
+        start = np.flatnonzero(new)
+        ends = np.maximum.reduceat(b, start)
+        first = np.minimum.reduceat(a, start)
+        out += zip(first.tolist(), ends.tolist(), (first + shift[start]).tolist(), [turn] * len(start), strict=True)
+        rest = np.delete(rest, hit)
+        turn += 1
+    return out
 
-    return run
 
+_BLOCK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("o", pa.int64()), ("other", pa.int32()), ("turn", pa.int32())])
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, t, spans array<struct<a, b>>)``: by id and hash of the text, the
-    stretches from word a to before word b that lie in runs of ``min_words`` words
-    that an earlier document (smaller id) holds too, wherever lines and sentences
-    begin; whatever white space stands between the words. A run that a text repeats
-    goes as often as one earlier document holds it.
 
-    Two runs are equal in all of their words, so in their anchor; runs whose anchor
-    two documents hold are compared by a hash of all their words. The first holder
-    stands for all, so neither an anchor nor a run is too frequent; the runs around
-    an anchor are shuffled once, packed, and sorted where they arrive."""
+def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        blocks, counts = [], []
+        col = b.column(2)
+        bounds = col.offsets.to_numpy()
+        flat = [col.values.field(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            o, pos, other, left, right = (f[x:y] for f in flat)
+            found = []
+            for p in np.unique(o):
+                k = np.flatnonzero(o == p)
+                found += [{"a": i, "b": j, "o": p, "other": m, "turn": n} for i, j, m, n in align(pos[k], other[k], left[k], right[k])]
+            blocks.append(sorted(found, key=lambda f: (f["a"], f["b"], f["o"])))
+            counts.append(y - x)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int32()), pa.array(blocks, pa.list_(_BLOCK))], names=["doc_id", "t", "n", "blocks"])
+
+
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, t, n, blocks array<struct<a, b, o, other, turn>>)`` for the texts that
+    hold lines of an earlier document (smaller id): by id and hash of the text, the
+    number of such lines, and the blocks that align with partner ``o``, from word a
+    to before word b (``b`` may pass the end of the text), in the partner from
+    word ``other``.
+
+    A line is ``LINE_WORDS`` words at a place that the words choose, wherever
+    sentences and line ends are; white space doesn't count. A line is thus rare by
+    itself. The first holder of a line stands for all, so a line costs one row for
+    each document that holds it however many do, and none is capped; the partners
+    of a document are the first holders of its lines. Lines of one document are
+    held back by a filter before the second shuffle. The first holder is found by
+    a minimum that is pre-aggregated; the join that distributes it has one row per
+    line on the right, so adaptive execution may split a line of a third of all
+    documents. With each line go its PLACES neighbouring words on both sides
+    (16 bits each), since a run goes on for fewer beyond its last line: blocks
+    end where the equal words end. So every run of LINE_WORDS + PLACES - 1 words
+    that an earlier document holds goes, shorter ones where they hold a line; only
+    where the first holder of the line at an end goes on differently than another
+    holder, up to PLACES - 1 words may stay at that end."""
+    text = F.col(text_col).cast("string")
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    own = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
-    anchors = own.select("doc_id", "text").transform(arrow, _anchor_batches(min_words), "doc_id long, h long")
-    shared = shared_filter(cut(anchors.groupBy("h").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").select("h")))
-    runs = own.transform(arrow, _window_batches(min_words, shared), "anchor long, doc_id long, t long, pos int, runs binary").repartition("anchor")
-    ordered = runs.transform(arrow, _unpacked, "h long, doc_id long, t long, pos int").sortWithinPartitions("h", "doc_id")
-    hits = ordered.transform(arrow, _later, "doc_id long, t long, pos int")
-    each = hits.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("at"))
-    return each.transform(arrow, _span_batches(min_words), "doc_id long, t long, spans array<struct<a:int,b:int>>")
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, gone array<struct<pos, h>>, gone_words)`` for the documents that
-    lose lines: the runs of at least ``min_words`` words of neighbouring lines
-    that align with an earlier document (smaller id).
-
-    A later document is aligned with each document that first holds one of its
-    lines in such a run (see ``partners``), by all lines that the two share, whoever
-    held them first. The join with the partners has one row per document on the
-    right, so a partner of very many documents may be split by adaptive execution."""
-    each = cut(shared_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("h", "o", "w", "at")).alias("lines")))
-    pairs = each.transform(arrow, _partner_batches(min_words), "doc_id long, o long, lines array<struct<h:long,w:int,own:boolean,at:array<int>>>")
-    theirs = each.select(F.col("doc_id").alias("o"), F.transform("lines", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"))).alias("theirs"))
-    aligned = pairs.join(theirs, "o").select("doc_id", "lines", "theirs").transform(arrow, _align_batches, "doc_id long, pos int, w int, h long")
-    per_doc = aligned.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "w", "h")).alias("found"))
-    return per_doc.transform(arrow, _runs(min_words), "doc_id long, gone array<struct<pos:int,h:long>>, gone_words long")
-
-
-def _unspanned(part: str, at: int, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """A line, of which word ``at`` of the text is the first, without the words in
-    ``spans``; its number of words and of those that went."""
-    words = [m.span() for m in _WORDS.finditer(part)]
-    gone = sum(max(0, min(b, at + len(words)) - max(a, at)) for a, b in spans)
-    if not gone:
-        return part, len(words), 0
-    out, low = [], 0
-    for a, b in [*spans, (at + len(words), 0)]:
-        high = min(a - at, len(words))
-        if high > low:
-            out.append(part[words[low][0] : words[high - 1][1]])
-        low = max(low, b - at)
-    return " ".join(out), len(words), gone
-
-
-def rebuilt(text: str, gone: list, spans: list | None = None) -> tuple[str, int, int]:
-    """``text`` without the lines at ``gone`` (position among the lines that aren't
-    blank, and hash: another row with this id keeps what differs) and without the
-    words in ``spans``; the number of lines that went whole, and of words. What is
-    left is joined by a line end where one stood between, else by the space."""
-    drop = {int(x["pos"]): int(x["h"]) & (1 << 64) - 1 for x in gone}
-    cuts = sorted((int(x["a"]), int(x["b"])) for x in spans or [])
-    parts = _END.split(text)
-    out: list[str] = []
-    n, between = 0, ""
-    at = first = lost_lines = lost_words = 0
-    for i in range(0, len(parts), 2):
-        if i and between != "\n":
-            between = parts[i - 1]
-        part = parts[i]
-        bare = part.strip(BLANK)
-        if bare:
-            h = drop.get(n)
-            n += 1
-            size = len(bare.encode("utf-8", "surrogatepass").split())
-            while first < len(cuts) and cuts[first][1] <= at:
-                first += 1
-            last = first
-            while last < len(cuts) and cuts[last][0] < at + size:
-                last += 1
-            whole = h is not None and h == xxhash.xxh64_intdigest(bare, 42)
-            if not whole and last > first:
-                part, _, some = _unspanned(part, at, cuts[first:last])
-                whole = some == size
-                lost_words += 0 if whole else some
-            at += size
-            if whole:
-                lost_lines += 1
-                lost_words += size
-                continue
-        if out:
-            out.append(between)
-        out.append(part)
-        between = ""
-    return "".join(out), lost_lines, lost_words
-
-
-def without(text: str, gone: list, spans: list | None = None) -> str:
-    """What ``rebuilt`` leaves of ``text``."""
-    return rebuilt(text, gone, spans)[0]
-
-
-def _rebuilt(text: pd.Series, t: pd.Series, gone: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    own = own.select(F.col(id_col).cast("long").alias("doc_id"), mark(text).alias("t"), text.cast("binary").alias("text"))
+    every = own.transform(arrow, _line_batches(), "h long, doc_id long")
+    owner = cut(every.groupBy("h").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").select("h", "o"))
+    shared = shared_filter(owner)
+    occ = cut(own.transform(arrow, _line_batches(shared), "h long, doc_id long, at long, side binary"))
+    first = occ.join(owner.select(F.col("h").alias("g"), "o"), (F.col("h") == F.col("g")) & (F.col("doc_id") == F.col("o")))
+    first = first.groupBy("g").agg(F.min("o").alias("o"), F.min("at").alias("there"), F.min_by("side", "at").alias("theirs"))
+    pairs = occ.join(first.hint("merge"), F.col("h") == F.col("g")).where("doc_id > o").select("doc_id", "at", "o", "there", "side", "theirs")
+    lines = pairs.transform(arrow, _extend_batches, "doc_id long, t long, o long, pos int, other int, l int, r int")
+    each = lines.groupBy("doc_id", "t").agg(F.collect_list(F.struct("o", "pos", "other", "l", "r")).alias("lines"))
+    return each.transform(arrow, _align_batches, "doc_id long, t long, n int, blocks array<struct<a:int,b:int,o:long,other:int,turn:int>>")
+
+
+def mark(text):
+    """31 bits of the hash of a text, by which texts under one id are told apart."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """``text`` without the words in ``spans`` (from word a to before word b, in any
+    order), and the number of words that went. Of the white space around a
+    deletion that before it stays, or that after it if only it holds a line end;
+    white space at the ends of the text stays."""
+    raw = text.encode("utf-8", "surrogatepass")
+    start, end = word_bounds(np.frombuffer(raw, np.uint8))
+    n, gone, low, out = len(start), 0, 0, []
+    merged: list[list[int]] = []
+    for a, b in sorted((a, min(b, n)) for a, b in spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        elif a < b:
+            merged.append([a, b])
+    for a, b in merged:
+        gone += b - a
+        if a == 0:
+            out.append(raw[: start[0]])
+        elif b == n:
+            out.append(raw[low : end[a - 1]])
+        else:
+            before, after = raw[end[a - 1] : start[a]], raw[end[b - 1] : start[b]]
+            out.append(raw[low : end[a - 1]] + (after if b"\n" in after and b"\n" not in before else before))
+        low = start[b] if b < n else end[n - 1]
+    out.append(raw[low:])
+    return b"".join(out).decode("utf-8", "surrogatepass"), gone
+
+
+def _rebuilt(text: pd.Series, t: pd.Series, found: pd.Series) -> pd.DataFrame:
     out = []
-    for x, h, lines_gone, found in zip(text, t, gone, runs, strict=True):
-        if x is None:
-            out.append((None, 0, 0))
+    for x, h, sets in zip(text, t, found, strict=True):
+        mine = [s for s in ([] if x is None or sets is None else sets) if s["t"] == h]
+        if not mine:
+            out.append((x, 0, 0, 0, 0, 0))
             continue
-        spans = [s for r in ([] if found is None else found) if r["t"] == h for s in r["spans"]]
-        out.append(rebuilt(x, [] if lines_gone is None else lines_gone, spans))
-    return pd.DataFrame(out, columns=["text", "lines", "words"])
-
-
-def dedup_flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``, the text without what an earlier document
-    holds (aligned lines, and runs of words whatever their lines), plus ``_gone``
-    (lines deleted whole) and ``_gone_words``. Null ids, null texts and rows that
-    lose nothing stay as they are. Only changed texts go to Python; the texts are
-    shuffled once, by id."""
-    lost = removals(docs, id_col, text_col, min_words).select("doc_id", "gone", F.lit(None).cast("struct<t:long,spans:array<struct<a:int,b:int>>>").alias("run"))
-    spans = repeated_spans(docs, id_col, text_col, min_words).select("doc_id", F.lit(None).cast("array<struct<pos:int,h:long>>").alias("gone"), F.struct("t", "spans").alias("run"))
-    r = lost.unionByName(spans).groupBy("doc_id").agg(F.first("gone", ignorenulls=True).alias("_lines"), F.collect_list("run").alias("_runs")).withColumnRenamed("doc_id", "_id")
-    both = docs.join(r, docs[id_col] == r["_id"], "left")
-    changed = F.col("_id").isNotNull() & F.col(text_col).isNotNull()
-    rebuild = F.pandas_udf(_rebuilt, "text string, lines int, words long")
-    both = both.withColumn("_new", F.when(changed, rebuild(F.when(changed, F.col(text_col).cast("string")), F.xxhash64(F.col(text_col).cast("string")), F.col("_lines"), F.col("_runs"))))
-    text = F.when(changed, F.col("_new.text")).otherwise(F.col(text_col))
-    cols = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return both.select(*cols, F.coalesce("_new.lines", F.lit(0)).alias("_gone"), F.coalesce("_new.words", F.lit(0)).cast("long").alias("_gone_words"))
-
-
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+        rows = mine[0]["blocks"]
+        new, words = without(x, [(int(r["a"]), int(r["b"])) for r in rows])
+        out.append((new, int(mine[0]["n"]), words, len(rows), sum(r["turn"] > 0 for r in rows), len({r["o"] for r in rows})))
+    return pd.DataFrame(out, columns=["text", "lines", "words", "blocks", "moved", "partners"])
+
+
+_LOST = {"lines": "int", "words": "long", "blocks": "int", "moved": "int", "partners": "int"}
+
+
+def dedup_flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """All rows and columns of ``docs``, the text without the blocks that align with
+    earlier documents, and a struct column ``(lines, words, blocks, moved, partners)``
+    of what went, whose name, the second result, no column of ``docs`` has.
+
+    Only changed texts go to Python. Texts of documents that lose nothing, but for
+    a few that a filter of 16 MB mistakes, are not shuffled.
+
+    Null ids, null texts, empty and blank texts and texts of fewer than LINE_WORDS
+    words stay as they are. Rows with one id are one place in the order: neither
+    is earlier, each is judged by its own text; equal rows fare alike. Of equal
+    lines the smallest id keeps its own. A very long text is hashed by parts; it
+    takes about 60 bytes a word of a worker. An empty table gives none. Other
+    columns are untouched, whatever their names."""
+    found = cut(blocks(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("t", "n", "blocks")).alias("found")))
+    lossy = shared_filter(found.select(F.xxhash64("doc_id").alias("h")))
+    lost, key, sets, new = (fresh(docs, x) for x in ("lost", "key", "sets", "new"))
+    may = F.pandas_udf(lambda h: pd.Series(lossy.holds(h.to_numpy(np.int64).view(np.uint64))), "boolean")
+    inside = F.coalesce(may(F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.lit(0))), F.lit(False)) & F.col(id_col).isNotNull()
+    kind = "struct<" + ",".join(f"{k}:{v}" for k, v in _LOST.items()) + ">"
+    same = docs.where(~inside).withColumn(lost, F.lit(None).cast(kind))
+    both = docs.where(inside).join(found.select(F.col("doc_id").alias(key), F.col("found").alias(sets)), F.col(id_col).cast("long") == F.col(key), "left")
+    changed = F.col(sets).isNotNull() & F.col(text_col).isNotNull()
+    text = F.col(text_col).cast("string")
+    rebuild = F.pandas_udf(_rebuilt, "text string, " + ", ".join(f"{k} {v}" for k, v in _LOST.items()))
+    both = both.withColumn(new, F.when(changed, rebuild(F.when(changed, text), mark(text), F.col(sets))))
+    cols = [F.when(changed, F.col(new)["text"]).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    one = F.when(changed, F.struct(*[F.col(new)[k].cast(v).alias(k) for k, v in _LOST.items()]))
+    return same.unionByName(both.select(*cols, one.alias(lost))), lost
+
+
+def dedup(docs: DataFrame) -> DataFrame:
     """The documents after deletion, same columns (``n_chars`` counted again). A
     document of which only blanks are left goes; one blank from the start stays."""
-    out = dedup_flagged(docs, min_words=min_words).where("not (_gone_words > 0 and trim(text) = '')")
+    out, lost = dedup_flagged(docs)
+    words = F.coalesce(F.col(lost)["words"], F.lit(0))
+    out = out.where(~((words > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(words > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:
-    """Per document what was deleted and the digest of what is left."""
-    return dedup_flagged(docs.select("doc_id", "text")).select(
+    """Per document what was deleted (lines held by an earlier document, words, blocks,
+    those of them that had moved, and the documents it was aligned with), and the
+    digest of what is left. See ``dedup_flagged`` for odd rows; a null text is
+    left as an empty one, and a row with a null id keeps its text."""
+    out, lost = dedup_flagged(docs.select("doc_id", "text"))
+    n = lambda k: F.coalesce(F.col(lost)[k], F.lit(0)).cast("long")
+    return out.select(
         "doc_id",
-        F.col("_gone").cast("long").alias("removed_lines"),
-        F.col("_gone_words").alias("removed_words"),
+        n("lines").alias("removed_lines"),
+        n("words").alias("removed_words"),
+        n("blocks").alias("n_blocks"),
+        n("moved").alias("n_moved"),
+        n("partners").alias("n_partners"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
