@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,8 +20,9 @@ from symgraph.llm.common import arrow
 #: A byte b is written as the character U+0100 + b, so that no byte of a
 #: pre-token is white space or a control character to the library.
 _MAP = {b: 0x100 + b for b in range(256)}
-#: Entries that a worker's memo of pre-tokens may hold before it starts afresh.
-MEMO = 200_000
+#: Characters that a worker's memo of pre-tokens may hold (in entries of MEMO_ENTRY
+#: characters at least) before it starts afresh. A memo lives as long as a task.
+MEMO, MEMO_ENTRY = 2_000_000, 10
 #: Characters encoded in one go; beyond it a text goes by itself, in parts of CHUNK pre-tokens.
 LONG, CHUNK = 500_000, 50_000
 
@@ -81,11 +83,28 @@ class Codec:
         self.ranks = read_ranks(path)
         self.tokens = sorted(self.ranks, key=self.ranks.get)
         self.numbers = list(range(len(self.tokens)))  # one object per id for all memos
+        self.names = [str(i) for i in self.numbers]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.pattern = regex.compile(pattern)
         self.spaced = pattern == SPACED
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memos."""
         self.memo: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...] | None] = {}
+        self.held = {"memo": 0, "chunks": 0}
+
+    def _room(self, which: str, some: set[str]) -> list[str]:
+        """What of ``some`` a memo doesn't hold; it starts afresh where it would overflow."""
+        memo = getattr(self, which)
+        new = [p for p in some if p not in memo]
+        size = sum(max(MEMO_ENTRY, len(p)) for p in new)
+        if self.held[which] + size > MEMO:
+            memo.clear()
+            new, self.held[which], size = list(some), 0, sum(max(MEMO_ENTRY, len(p)) for p in some)
+        self.held[which] += size
+        return new
 
     def _pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """Ids of pre-tokens: of a token as it is, else by the model."""
@@ -99,17 +118,13 @@ class Codec:
         return out
 
     def _learn(self, some: set[str]) -> None:
-        """Memoises the pre-tokens ``some``; a memo that would overflow starts afresh."""
-        new = [p for p in some if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, list(some)
+        """Memoises the pre-tokens ``some``."""
+        new = self._room("memo", some)
         self.memo.update(zip(new, self._pieces(new), strict=True))
 
     def _learn_chunks(self, some: set[str]) -> None:
         """As above for chunks. None: white space next to the cut."""
-        new = [c for c in some if c not in self.chunks]
-        if len(self.chunks) + len(new) > MEMO:
-            self.chunks, new = {}, list(some)
+        new = self._room("chunks", some)
         pieces: list[str] = []
         sizes: list[int] = []
         for c in new:
@@ -187,13 +202,21 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, some
 
 
-def _encoder(path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+def _ids(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Codec, pa.Array, list[list[int]]]]:
+    """The codec, the document ids and the token ids of some texts after others."""
+    c = codec(path, pattern)
+    try:
         for b in batches:
             for first, some in _groups(b.column(1).to_pylist()):
-                ids = pa.array(c.encode_many(some), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(some)), ids], names=["doc_id", "ids"])
+                yield c, b.column(0).slice(first, len(some)), c.encode_many(some)
+    finally:
+        c.forget()
+
+
+def _encoder(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, docs, ids in _ids(path, pattern, batches):
+            yield pa.RecordBatch.from_arrays([docs, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
 
@@ -208,20 +231,29 @@ def _decoder(path: str, pattern: str):
     return run
 
 
-def _round_tripper(path: str, pattern: str):
-    encode_batches, decode_batches = _encoder(path, pattern), _decoder(path, pattern)
-    return lambda batches: decode_batches(encode_batches(batches))
+def _round_tripper(path: str, pattern: str, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, docs, ids in _ids(path, pattern, batches):
+            n = pa.array(map(len, ids), pa.int64())
+            told = pa.array([hashlib.sha256(",".join(map(c.names.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string())
+            back = pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string())
+            cols = [docs, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), n, told, back]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids array<int>)`` for every row: the token ids of the whole
-    text, each match of ``pattern`` encoded by itself, no special tokens. Null
-    and empty texts give an empty array; repeated rows are encoded each. One
-    narrow stage, no shuffle; workers memoise pre-tokens within a bound."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(
-        arrow,
-        _encoder(path, pattern), _schema(docs, id_col, "ids array<int>")
-    )
+    """``(doc_id, ids array<int>)`` for every row: the token ids of the whole text,
+    each match of ``pattern`` encoded by itself, no special tokens. One narrow
+    stage, no shuffle; workers memoise pre-tokens within a bound.
+
+    Null and empty texts give an empty array, a null id stays null, repeated rows
+    are encoded each (there are no ties), an empty table gives no rows. A text of
+    more than LONG characters goes by itself, by CHUNK pre-tokens. Only the two
+    columns named are read, so other columns may have any name."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.transform(arrow, _encoder(path, pattern), _schema(own, "doc_id", "ids array<int>"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -234,20 +266,15 @@ def _schema(df: DataFrame, id_col: str, rest: str) -> str:
     return f"doc_id {df.schema[id_col].dataType.simpleString()}, {rest}"
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` per document: encode,
-    then decode, in one pass through the workers."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` per document, odd rows
+    as in ``encode``: encode, then decode, in one pass through the workers, which
+    make the digests, so that decoded bytes never leave them."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = own.transform(arrow, _round_tripper(path, pattern), _schema(own, "doc_id", "ids array<int>, decoded binary"))
-    return both.select(
-        "doc_id",
-        "ids",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    rest = "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return own.transform(arrow, _round_tripper(path, pattern, with_ids), _schema(own, "doc_id", rest))
 
 
 def op2_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The query's columns."""
-    return round_trip(docs, path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    """The query's columns; odd rows as in ``encode``."""
+    return round_trip(docs, path, pattern, with_ids=False)
