@@ -134,17 +134,24 @@ def _place(blocks: list[int], quota: list[int], last: list[int], block: int, siz
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = 20, ranges: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``(doc_id, thash, source, size, source_size,
-    target, taken)``, with ``ranges`` also the taken word ranges
-    ``array<struct<epoch, first, n>>``.
+    target, taken, shards)``, with ``ranges`` also the taken word ranges
+    ``array<struct<shard, epoch, first, n>>``; ``shards`` are the output shards, in
+    order, that take words of it.
 
     The words of a source form one stream of documents, cut into blocks of
-    ``block`` words. A source takes round(target) words in slots of one block;
-    multinomial counts spread the slots over output shards, what they miss or
-    exceed is settled in a last shard. The k-th slot of a source is mapped by a
-    permutation of its blocks, a new one for each pass, and joined with the
-    documents of that block. Null texts have size 0 and null sources form a
-    source of their own, last; repeated rows are documents of their own; an empty
-    table gives no rows.
+    ``block`` words. A source takes round(target) words in slots of one block. Each
+    output shard draws how many of its slots a source gets (multinomial counts by
+    the sources' shares); what the draws miss or exceed of a source's slots is
+    settled in a last shard, so that sources meet their targets. The k-th slot of
+    a source, in the order of the shards, is mapped by a permutation of its blocks,
+    a new one for each pass, and joined with the documents of that block: the
+    draws decide in which shard the words of a document come.
+
+    Null and blank texts have size 0 and give nothing; null sources form a source
+    of their own, last; rows with a null id and repeated rows are documents of
+    their own (of equal rows any may be the one that is taken); an empty table
+    gives no rows; a very long text spans many blocks. Only the three columns named
+    are read, so others may have any name.
 
     A source's stream is numbered by lanes of about LANE_DOCS documents (hash of
     id and text), so a source with a third of all rows is still many groups.
@@ -200,25 +207,28 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     n = F.when(F.col("words").isNotNull(), F.greatest(high - low, F.lit(0))).otherwise(F.lit(0))
-    joined = joined.select("sid", "lane", "rn", "doc_id", "thash", "size", "epoch", (low - F.col("start")).alias("first"), n.alias("n"))
-    found = [F.sum("n").alias("taken")]
+    joined = joined.select("sid", "lane", "rn", "doc_id", "thash", "size", "shard", "epoch", (low - F.col("start")).alias("first"), n.alias("n"))
+    found = [F.sum("n").alias("taken"), F.sort_array(F.collect_set(F.when(F.col("n") > 0, F.col("shard")))).alias("shards")]
     if ranges:
-        found.append(F.collect_list(F.when(F.col("n") > 0, F.struct("epoch", "first", "n"))).alias("ranges"))
+        found.append(F.collect_list(F.when(F.col("n") > 0, F.struct("shard", "epoch", "first", "n"))).alias("ranges"))
     out = joined.groupBy("sid", "lane", "rn", "doc_id", "thash", "size").agg(*found)
-    return out.join(table, "sid").select("doc_id", "thash", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), *["ranges"] * ranges)
+    return out.join(table, "sid").select("doc_id", "thash", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "shards", *["ranges"] * ranges)
 
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def pieces(text: str, size: int, ranges: list[dict]) -> list[str]:
-    """One text per pass: whole where the pass takes all words, else the taken
-    stretches in order, joined by a line end."""
+def pieces(text: str, size: int, ranges: list[dict]) -> list[tuple[int, str]]:
+    """A text with its shard for each shard and pass that takes words: whole where
+    all are taken, else the taken stretches in order, joined by a line end."""
     out, spans = [], None
-    for epoch in sorted({r["epoch"] for r in ranges}):
-        mine = sorted((r["first"], r["first"] + r["n"]) for r in ranges if r["epoch"] == epoch)
+    by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in ranges:
+        by.setdefault((r["shard"], r["epoch"]), []).append((r["first"], r["first"] + r["n"]))
+    for (shard, _), mine in sorted(by.items()):
+        mine.sort()
         if sum(b - a for a, b in mine) == size:
-            out.append(text)
+            out.append((shard, text))
             continue
         spans = spans or [m.span() for m in _WORDS.finditer(text)]
         merged: list[list[int]] = []
@@ -227,57 +237,60 @@ def pieces(text: str, size: int, ranges: list[dict]) -> list[str]:
                 merged[-1][1] = b
             else:
                 merged.append([a, b])
-        out.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged))
+        out.append((shard, "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged)))
     return out
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 20) -> DataFrame:
-    """The mix as documents, columns as in ``docs``: a row for each pass that takes
-    words of a document (whole, or cut to them, ``n_chars`` counted again).
-    Documents without words have nothing to give and go. The texts are shuffled
-    once, by id (by text where the id is null)."""
+    """The mix as documents, columns as in ``docs``, whole shards in each partition:
+    a row for each shard and pass that takes words of a document (whole, or cut to
+    them, ``n_chars`` counted again). Documents without words have nothing to give
+    and go; for other odd rows see ``plan``. Texts are shuffled by id and text,
+    then by shard. Columns travel in a struct, so they may have any name."""
     names = docs.columns
-    p = plan(docs, block=block, seed=seed, ranges=True)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.col("_thash"))
-    order = Window.partitionBy("_key").orderBy("_thash", "source")
-    p = plan_key(p).where("_ptaken > 0")  # numbered with the rows that give nothing
-    d = docs.withColumn("_thash", F.xxhash64("text")).withColumn("_key", key)
-    d = d.withColumn("_ord", F.row_number().over(order))
+    p = plan(docs, block=block, seed=seed, ranges=True).select(
+        F.coalesce(F.col("doc_id").cast("long"), F.col("thash")).alias("pkey"), F.col("thash").alias("phash"), "source", "size", "taken", "ranges"
+    )
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    thash = F.xxhash64("text")
+    d = docs.select(own.alias("doc"), thash.alias("thash"), F.coalesce(F.col("doc_id").cast("long"), thash).alias("key"), F.col("source").cast("string").alias("from"))
+    # numbered with the rows that give nothing
+    p = p.withColumn("pord", F.row_number().over(Window.partitionBy("pkey", "phash").orderBy("source"))).where("taken > 0")
+    d = d.withColumn("ord", F.row_number().over(Window.partitionBy("key", "thash").orderBy("from")))
     # the ordinal is no join key, so that the rows stay where the window put them
-    both = d.join(p, (d["_key"] == p["_pkey"]) & (d["_ord"] - p["_pord"] == 0) & (d["_thash"] - p["_pthash"] == 0))
+    both = d.join(p, (F.col("key") == F.col("pkey")) & (F.col("thash") == F.col("phash")) & (F.col("ord") - F.col("pord") == 0))
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
+    kind = "shard long, " + ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            take, texts = [], []
-            for i, (t, size, ranges) in enumerate(zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True)):
-                some = pieces(t or "", size, ranges)
-                take += [i] * len(some)
-                texts += some
-                if sum(map(len, texts[-64:])) > 1 << 26:  # copies of very long texts go out at once
-                    yield _rows(b, names, take, texts, at, count)
-                    take, texts = [], []
-            yield _rows(b, names, take, texts, at, count)
-
-    return both.select(*[d[c] for c in names], "_psize", "_pranges").transform(arrow, run, docs.schema)
-
-
-def _rows(b: pa.RecordBatch, names: list[str], take: list[int], texts: list[str], at: int, count: int | None) -> pa.RecordBatch:
+            doc = b.column(0)
+            cols = doc.flatten()
+            take, shards, texts, held = [], [], [], 0
+            for i, (t, size, ranges) in enumerate(zip(cols[at].to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                for shard, some in pieces(t or "", size, ranges):
+                    take.append(i)
+                    shards.append(shard)
+                    texts.append(some)
+                    held += len(some)
+                    if held > 1 << 24:  # copies of very long texts go out at once
+                        yield _rows(cols, take, shards, texts, at, count)
+                        take, shards, texts, held = [], [], [], 0
+            yield _rows(cols, take, shards, texts, at, count)
+
+    out = both.select("doc", "size", "ranges").transform(arrow, run, kind).repartition("shard")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def _rows(own: list[pa.Array], take: list[int], shards: list[int], texts: list[str], at: int, count: int | None) -> pa.RecordBatch:
     index, text = pa.array(take, pa.int64()), pa.array(texts, pa.string())
-    cols = [b.column(i).take(index) if i not in (at, count) else text for i in range(len(names))]
+    cols = [c.take(index) if i not in (at, count) else text for i, c in enumerate(own)]
     if count is not None:
-        cols[count] = pc.cast(pc.utf8_length(text), b.column(count).type)
-    return pa.RecordBatch.from_arrays(cols, names=names)
-
-
-def plan_key(p: DataFrame) -> DataFrame:
-    """The plan's rows by the key and ordinal of their document."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.col("thash"))
-    p = p.withColumn("_pkey", key).withColumn("_pord", F.row_number().over(Window.partitionBy("_pkey").orderBy("thash", "source")))
-    return p.select("_pkey", "_pord", F.col("thash").alias("_pthash"), F.col("size").alias("_psize"), F.col("ranges").alias("_pranges"), F.col("taken").alias("_ptaken"))
+        cols[count] = pc.cast(pc.utf8_length(text), own[count].type)
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), *cols], names=["shard", *(f"c{i}" for i in range(len(cols)))])
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:
-    """The query's columns."""
-    return plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """The query's columns; odd rows as in ``plan``."""
+    return plan(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
