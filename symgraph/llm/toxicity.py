@@ -17,9 +17,15 @@ from pyspark.sql import functions as F
 from symgraph.llm.common import arrow
 
 _TOKEN = re.compile(r"\w+")
-#: Bounds of the model: labelled rows of each class that it is fitted on (those
-#: with the smallest hash of the id), and tokens that it keeps (largest |z|).
-MAX_TRAIN_PER_CLASS, MAX_TOKENS = 10_000, 50_000
+#: The bound of the model: labelled rows of each class that it is fitted on (those
+#: with the smallest hash of the id). It keeps every token of theirs with |z| of
+#: LEAST_Z at least.
+MAX_TRAIN_PER_CLASS = 10_000
+#: A word's units are itself and its beginnings of so many letters; the longest unit
+#: with a score of its own gives the word's.
+BEGINNINGS = range(8, 4, -1)
+#: Words of which a worker keeps the score before it starts afresh.
+MEMO = 200_000
 #: The prior weighs this share of all counts; then the least |z|, the largest |score|, the score of a token without evidence.
 PRIOR, LEAST_Z, CAP, DRIFT = 0.1, 2.5, 4.0, -0.03
 
@@ -50,22 +56,34 @@ def maximal_segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, in
 
 @dataclass
 class Model:
-    """Token scores and the calibration. ``weight`` is empty where training had
+    """Scores of units and the calibration. ``weight`` is empty where training had
     no two classes; every score is then 0."""
 
     weight: dict[str, float] = field(default_factory=dict)
     lam: float = 1.0
-    k: float = 0.1
+    k: float = 1e-3
     a: float = 0.0
     b: float = 0.0
+    memo: dict[str, float | None] = field(default_factory=dict, compare=False, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}}
+
+    def of(self, token: str) -> float | None:
+        """The score of a token, None without evidence."""
+        return next((self.weight[u] for u in units(token) if u in self.weight), None)
 
     def runs(self, tokens: list[str]) -> list[tuple[int, int, float]]:
         """Tokens with a score of their own, the gaps between them as one run each."""
-        w, out, at = self.weight, [], -1
-        for i in [i for i, t in enumerate(tokens) if t in w]:
+        memo, out, at = self.memo, [], -1
+        if len(memo) > MEMO:
+            memo.clear()
+        for t in set(tokens).difference(memo):
+            memo[t] = self.of(t)
+        for i, s in [(i, s) for i, s in enumerate(map(memo.__getitem__, tokens)) if s is not None]:
             if out and i > at + 1:
                 out.append((at + 1, i - 1, DRIFT * (i - at - 1)))
-            out.append((i, i, w[tokens[i]]))
+            out.append((i, i, s))
             at = i
         return out
 
@@ -75,11 +93,20 @@ class Model:
         found = ((i, j, s, self.k * len(tokens) * math.exp(-min(700.0, self.lam * s))) for i, j, s in maximal_segments(self.runs(tokens)))
         return [x for x in found if x[3] < 1]
 
-    def evidence(self, found: list[tuple[int, int, float, float]]) -> float:
-        """Sum of -ln E over the significant segments of a text."""
-        return sum(-math.log(max(e, 1e-300)) for *_, e in found)
+    def best(self, tokens: list[str]) -> float:
+        """The score of the best segment; 0 where no token scores above 0."""
+        return max((s for *_, s in maximal_segments(self.runs(tokens))), default=0.0)
+
+    def evidence(self, found: list[tuple[int, int, float, float]], n: int) -> float:
+        """Sum of -ln E over the significant segments of a text of n tokens."""
+        return sum(self.lam * s - math.log(self.k * n) for *_, s, _ in found)
+
+    def score(self, text: str | None) -> float:
+        """The probability of label 1: a logistic curve of the evidence."""
+        tokens = tokens_of(text)
+        return self.curve(self.evidence(self.passages(tokens), len(tokens)))
 
-    def score(self, x: float) -> float:
+    def curve(self, x: float) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.a + self.b * x)))) if self.weight else 0.0
 
 
@@ -87,42 +114,60 @@ def tokens_of(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-def karlin_lambda(values: np.ndarray, share: np.ndarray) -> float:
-    """The positive root of sum(share * exp(lambda * value)) = 1 (bisection), for
-    scores whose mean is negative; 1 where there is none within (0, 20]."""
-    if not (share @ values < 0 and (values > 0).any()):
-        return 1.0
-    low, high = 1e-6, 20.0
-    f = lambda x: float(share @ np.exp(np.minimum(x * values, 700.0))) - 1
-    if f(high) < 0:
-        return high
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) < 0 else (low, mid)
-    return high
+def units(token: str) -> list[str]:
+    """What a token may be scored by: itself, then its beginnings from long to short
+    (marked by a star), so that forms of a word share evidence."""
+    return [token, *(token[:n] + "*" for n in BEGINNINGS if n < len(token))]
+
+
+def gumbel(n: np.ndarray, best: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Lambda and K of the extreme-value law P(best segment < s) = exp(-K n e^(-lambda s))
+    of texts of ``n`` tokens, by maximum likelihood; a text without a positive score
+    (best 0) counts as censored there. Fewer than ten texts with one: lambda 1, which
+    log-odds have by Karlin and Altschul's equation, and K alone is fitted."""
+    hit = best > 0
+    m = w[hit].sum()
+
+    def k_of(lam: float) -> float:
+        return (m + 0.5) / max(float(w @ (n * np.exp(-lam * best))), 1e-9)
+
+    def slope(lam: float) -> float:
+        return m / lam - float(w[hit] @ best[hit]) + k_of(lam) * float(w @ (n * best * np.exp(-lam * best)))
+
+    lam = 1.0
+    if hit.sum() >= 10:
+        low, high = 1e-3, 100.0  # the slope falls from above 0 to below it
+        for _ in range(80):
+            mid = math.sqrt(low * high)
+            low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+        lam = math.sqrt(low * high)
+    return lam, k_of(lam)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    counts: dict[tuple[int, int], Counter] = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}
     for b in batches:
-        for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            counts[y].update(set(tokens_of(text)))
-        if sum(map(len, counts)) > 100_000:
-            yield _counted(counts)
-            counts = (Counter(), Counter())
-    yield _counted(counts)
+        for text, y, half in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            counts[half, y].update({u for t in set(tokens_of(text)) for u in units(t)})
+        if sum(map(len, counts.values())) > 300_000:
+            yield from map(_counted, (0, 1), [counts] * 2)
+            for c in counts.values():
+                c.clear()
+    yield from map(_counted, (0, 1), [counts] * 2)
 
 
-def _counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
-    names = list(counts[0].keys() | counts[1].keys())
-    cols = [pa.array(names, pa.string())] + [pa.array([c[n] for n in names], pa.int64()) for c in counts]
-    return pa.RecordBatch.from_arrays(cols, names=["token", "clean", "toxic"])
+def _counted(half: int, counts: dict[tuple[int, int], Counter]) -> pa.RecordBatch:
+    own = [counts[half, y] for y in (0, 1)]
+    names = list(own[0].keys() | own[1].keys())
+    cols = [pa.array(names, pa.string()), pa.array([half] * len(names), pa.int32())] + [pa.array([c[n] for n in names], pa.int64()) for c in own]
+    return pa.RecordBatch.from_arrays(cols, names=["token", "half", "clean", "toxic"])
 
 
 def log_odds(counts: DataFrame) -> list[tuple[str, float]]:
     """Tokens of ``counts(token, clean, toxic)`` with their log-odds under an
     informative Dirichlet prior (PRIOR times the pooled counts), for those
-    with |z| of LEAST_Z at least; the MAX_TOKENS of largest |z|."""
+    with |z| of LEAST_Z at least. A token of one or two texts never reaches it, so
+    their number is bounded by the words of the labelled rows."""
     total = counts.agg(F.sum("clean").alias("nc"), F.sum("toxic").alias("nt")).first()
     if not (total and total.nc and total.nt):
         return []
@@ -130,12 +175,12 @@ def log_odds(counts: DataFrame) -> list[tuple[str, float]]:
     odds = lambda y, n: F.log((y + alpha) / (n + whole - y - alpha))
     delta = odds(F.col("toxic"), total.nt) - odds(F.col("clean"), total.nc)
     z = delta / F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
-    found = counts.where("clean + toxic > 2").select("token", delta.alias("d"), z.alias("z")).where(F.abs("z") >= LEAST_Z)
-    return [(r.token, r.d) for r in found.orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect()]
+    found = counts.select("token", delta.alias("d"), z.alias("z")).where(F.abs("z") >= LEAST_Z)
+    return sorted((r.token, r.d) for r in found.select("token", "d").collect())
 
 
 def training_ids(labels: DataFrame, per_class: int = MAX_TRAIN_PER_CLASS) -> DataFrame:
-    """``(id, y, fold, weight)`` of at most ``per_class`` labelled rows of either
+    """``(id, y, half, weight)`` of at most ``per_class`` labelled rows of either
     class, outside the held-out third (crc32 of the id's digits mod 3 is 1).
     Several labels of a document: toxic if any is. Null ids or labels are unused."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
@@ -144,86 +189,94 @@ def training_ids(labels: DataFrame, per_class: int = MAX_TRAIN_PER_CLASS) -> Dat
     n = {r.y: r.n for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [one.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     w = F.when(F.col("y") == 1, max(1.0, n.get(1, 0) / per_class)).otherwise(max(1.0, n.get(0, 0) / per_class))
-    return parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("id"), "y", F.pmod("h", F.lit(10)).alias("fold"), w.alias("weight"))
+    return parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("id"), "y", F.pmod("h", F.lit(2)).cast("int").alias("half"), w.alias("weight"))
+
+
+#: Bins of a signature; of two rows with this share of equal bins one is a near copy.
+BINS, ALIKE = 64, 0.5
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds two min-hashes over the 3-word shingles of a text."""
+    """Adds the least hash over the 3-word shingles of a text, and its least hashes
+    by bin."""
     for b in batches:
-        marks: tuple[list[int], list[int]] = ([], [])
+        least, signs = [], []
         for text in b.column(0).to_pylist():
             words = text.split()
-            grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-            for out, seed in zip(marks, (7, 8), strict=True):
-                out.append(min(xxhash.xxh64_intdigest(g, seed) for g in grams) >> 1)
-        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m, pa.int64()) for m in marks)], names=[*b.schema.names, "m1", "m2"])
+            grams = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+            h = np.fromiter((xxhash.xxh64_intdigest(g, 7) for g in grams), np.uint64, len(grams)) >> np.uint64(1)
+            bins = np.full(BINS, -1, np.int64).view(np.uint64)
+            np.minimum.at(bins, (h % np.uint64(BINS)).astype(np.int64), h)
+            least.append(int(h.min()))
+            signs.append(bins.view(np.int64))
+        cols = [*b.columns, pa.array(least, pa.int64()), pa.array(signs, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "m", "sign"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits the model on a bounded sample of labelled rows (see ``training_ids``):
-    token log-odds on seven tenths of them; on the rest lambda from the clean score
-    distribution, and the logistic curve that turns the evidence of a text into
-    the probability of label 1. Copies and near copies (an equal min-hash) count
-    once, so that a copied text doesn't make its rare words look toxic."""
+    log-odds of the units of all of them. For the calibration each half is scored
+    by the log-odds of the other: the clean texts give the extreme-value law of the
+    best segment, all texts the logistic curve that turns the evidence of a text
+    into the probability of label 1.
+
+    Copies and near copies in a class count once, so that a copied text doesn't
+    make its rare words look toxic: a row goes if its least shingle hash is that of
+    a row with a smaller id and half of their signatures' bins agree."""
     # At most 2 x MAX_TRAIN_PER_CLASS rows of 28 bytes are broadcast.
     ids = F.broadcast(training_ids(labels))
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id").where("text is not null")
-    train = train.select("text", "y", "fold", "weight", "id").transform(arrow, _marks, "text string, y int, fold long, weight double, id long, m1 long, m2 long")
-    for mark in ("m1", "m2"):
-        train = train.withColumn("_n", F.row_number().over(Window.partitionBy("y", mark).orderBy("id"))).where("_n = 1")
-    train = train.select("text", "y", "fold", "weight", (F.col("fold") < 7).alias("learn")).persist()
-    counts = train.where("learn").select("text", "y").transform(arrow, _count_batches, "token string, clean long, toxic long")
-    counts = counts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    model = Model({t: max(-CAP, min(CAP, d)) for t, d in log_odds(counts)})
+    train = train.select("text", "y", "half", "weight", "id").transform(arrow, _marks, "text string, y int, half int, weight double, id long, m long, sign array<long>")
+    of = Window.partitionBy("y", "m").orderBy("id", "text")
+    same = lambda x, y: F.when((x == y) & (x >= 0), 1).otherwise(0)
+    filled = lambda x, y: F.when((x >= 0) | (y >= 0), 1).otherwise(0)
+    total = lambda f: F.aggregate(F.zip_with("sign", "lead", f), F.lit(0), lambda a, b: a + b)
+    train = train.withColumn("lead", F.first("sign").over(of)).withColumn("n", F.row_number().over(of))
+    train = train.where((F.col("n") == 1) | (total(same) < ALIKE * total(filled)))
+    train = train.select("text", "y", "half", "weight").persist()
+    counts = train.transform(arrow, _count_batches, "token string, half int, clean long, toxic long")
+    counts = counts.groupBy("token", "half").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
+    both = counts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    held = lambda odds: {t: max(-CAP, min(CAP, d)) for t, d in odds}
+    model = Model(held(log_odds(both)))
     if model.weight:
-        seen = train.where("not learn").transform(arrow, _evidence_batches(model), "y int, weight double, n long, values array<double>").collect()
-        _calibrate(model, seen)
-        rows = train.where("not learn").transform(arrow, _final_batches(model), "y int, weight double, x double").collect()
+        others = [Model(held(log_odds(counts.where(F.col("half") == 1 - h)))) for h in (0, 1)]
+        seen = train.where("y = 0").transform(arrow, _best_batches(others), "n long, best double, weight double").collect()
+        if any(r.n for r in seen):
+            model.lam, model.k = gumbel(*(np.array([r[i] for r in seen if r.n], float) for i in range(3)))
+        for m in others:
+            m.lam, m.k = model.lam, model.k
+        rows = train.transform(arrow, _final_batches(others), "y int, weight double, x double").collect()
         model.a, model.b = logistic([r.x for r in rows], [r.y for r in rows], [r.weight for r in rows])
+    counts.unpersist()
     train.unpersist()
     return model
 
 
-def _evidence_batches(model: Model):
+def _best_batches(others: list[Model]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.to_pydict()
-            tokens = [tokens_of(t) for t in d["text"]]
-            values = [[model.weight[t] for t in x if t in model.weight] for x in tokens]
-            cols = [pa.array(d["y"], pa.int32()), pa.array(d["weight"], pa.float64()), pa.array(map(len, tokens), pa.int64()), pa.array(values, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["y", "weight", "n", "values"])
+            tokens = [tokens_of(t) for t in b.column(0).to_pylist()]
+            best = [others[h].best(t) for t, h in zip(tokens, b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, tokens), pa.int64()), pa.array(best, pa.float64()), b.column(3)], names=["n", "best", "weight"])
 
     return run
 
 
-def _final_batches(model: Model):
+def _final_batches(others: list[Model]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.to_pydict()
-            x = [model.evidence(model.passages(tokens_of(t))) for t in d["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(d["y"], pa.int32()), pa.array(d["weight"], pa.float64()), pa.array(x, pa.float64())], names=["y", "weight", "x"])
+            tokens = [tokens_of(t) for t in b.column(0).to_pylist()]
+            x = [others[h].evidence(others[h].passages(t), len(t)) for t, h in zip(tokens, b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(x, pa.float64())], names=["y", "weight", "x"])
 
     return run
 
 
-def _calibrate(model: Model, seen: list) -> None:
-    """Lambda and K of the Gumbel law of the best segment in a clean text. Without
-    clean texts that hold a scored token, the defaults stay."""
-    clean = [r for r in seen if r.y == 0]
-    n = sum(r.n for r in clean)
-    values = np.array([v for r in clean for v in r["values"]])
-    if not n or not len(values):
-        return
-    neutral = max(0, n - len(values))
-    model.lam = min(3.0, karlin_lambda(np.append(values, DRIFT), np.append(np.full(len(values), 1 / n), neutral / n)))
-    hit = sum(1 for r in clean if any(v > 0 for v in r["values"]))
-    model.k = max(1e-6, min(0.1, 10 * hit / n))
-
-
 def logistic(x: list[float], y: list[int], w: list[float]) -> tuple[float, float]:
     """Intercept and slope of a weighted logistic regression on the evidence
     of texts, lightly ridged so that separable classes give finite values."""
-    X, t, w = np.column_stack([np.ones(len(x)), np.minimum(np.array(x, float), 50.0)]), np.array(y, float), np.array(w, float)
+    X, t, w = np.column_stack([np.ones(len(x)), np.array(x, float)]), np.array(y, float), np.array(w, float)
     beta = np.zeros(2)
     if not len(t):
         return 0.0, 0.0
@@ -248,8 +301,9 @@ def _score_batches(model: Model):
         for b in batches:
             scores, passages = [], []
             for text in b.column(1).to_pylist():
-                found = model.passages(tokens_of(text))
-                scores.append(model.score(min(50.0, model.evidence(found))))
+                tokens = tokens_of(text)
+                found = model.passages(tokens)
+                scores.append(model.curve(model.evidence(found, len(tokens))))
                 spans = []
                 if found:
                     # lower() may change lengths; offsets are then those of the lower-cased text
@@ -264,28 +318,34 @@ def _score_batches(model: Model):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score, passages)`` for every row: the probability of label 1 and
     the significant passages (character spans of the lower-cased text). Only the
-    text is read; null and empty texts score as texts without evidence."""
+    text is read, so other columns may have any name. Null and empty texts score as
+    texts without evidence; equal texts score alike, each row (repeated, or with a
+    null id) by itself; an empty table gives no rows. A very long text is scored
+    whole, in time and memory linear in its tokens; a longer text needs a higher
+    segment score for the same E-value."""
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.transform(arrow, _score_batches(model), f"doc_id {kind}, score double, passages {PASSAGE}")
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The query's columns."""
+    """The query's columns; odd rows as in ``score``. Without labels of both classes
+    every score is 0. A null id isn't held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, columns unchanged."""
+    """The rows of ``docs`` that score below ``threshold``, all columns unchanged;
+    odd rows as in ``score``: null and empty texts stay."""
     model = fit(docs, labels)
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [model.score(min(50.0, model.evidence(model.passages(tokens_of(t))))) < threshold for t in b.column(at).to_pylist()]
+            keep = [model.score(t) < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.transform(arrow, run, docs.schema)

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -34,6 +35,27 @@ def test_maximal_segments(x):
         assert all(sum(x[i : k + 1]) > 0 and sum(x[k : j + 1]) > 0 for k in range(i, j + 1))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([-7.0, -5.0, -3.0, -2.0, 2.0, 4.0, 8.0, 16.0, 31.0]), max_size=14))
+def test_maximal_segments_by_their_definition(x):
+    """Segments all of whose proper beginnings and ends sum above 0, and that no
+    longer such segment holds."""
+    fine = {(i, j) for i in range(len(x)) for j in range(i, len(x)) if all(sum(x[i : k + 1]) > 0 and sum(x[k : j + 1]) > 0 for k in range(i, j + 1))}
+    want = sorted(s for s in fine if not any(t != s and t[0] <= s[0] and s[1] <= t[1] for t in fine))
+    assert [(i, j) for i, j, _ in toxicity.maximal_segments([(i, i, v) for i, v in enumerate(x)])] == want
+
+
+def test_the_extreme_value_law_of_simulated_texts():
+    rng = np.random.default_rng(5)
+    n = rng.integers(50, 5000, 4000).astype(float)
+    best = np.maximum(0.0, (np.log(0.02 * n) - np.log(rng.exponential(size=4000))) / 0.8)
+    lam, k = toxicity.gumbel(n, best, np.ones(4000))
+    assert abs(lam - 0.8) < 0.04 and abs(k - 0.02) < 0.004
+    expected = k * n * np.exp(-lam * best)
+    for e in (0.05, 0.2, 0.5):
+        assert abs((expected < e).mean() - (1 - np.exp(-e))) < 0.02
+
+
 def corpus(n=1500):
     rng = random.Random(3)
     vocab = [f"word{i}" for i in range(500)]
@@ -75,6 +97,30 @@ def test_labels_of_the_held_out_third_are_unused(spark):
     assert a == b
 
 
+def test_evidence_values_of_clean_texts_hold_their_rate(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(2400):
+        words = [f"word{rng.randrange(400)}" if rng.random() > 0.01 else f"mild{rng.randrange(6)}" for _ in range(rng.randint(20, 400))]
+        if i % 4 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = [f"mild{rng.randrange(6)}" for _ in range(6)]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [t.split() for (i, t), (_, y) in zip(docs, labels, strict=True) if not y and zlib.crc32(str(i).encode()) % 3 == 1]
+    e = np.array([model.k * len(t) * np.exp(-model.lam * model.best(t)) for t in held])
+    rates = [(x, (e < x).mean(), 1 - np.exp(-x)) for x in (0.05, 0.1, 0.3, 0.5, 1.0)]
+    # segments of a few tokens score in steps, the law is continuous
+    assert all(abs(have - want) < 0.13 for _, have, want in rates), (rates, model.lam, model.k)
+
+
+def test_units_and_near_copies(spark):
+    assert toxicity.units("abcdefghij") == ["abcdefghij", "abcdefgh*", "abcdefg*", "abcdef*", "abcde*"] and toxicity.units("abcde") == ["abcde"]
+    model = toxicity.Model({"abcde*": 2.0, "abcdefg": -1.0})
+    assert [model.of(t) for t in ("abcdefg", "abcdefh", "abcde", "x")] == [-1.0, 2.0, None, None]
+
+
 def test_odd_tables(spark):
     d = spark.createDataFrame([(1, None, 0.5), (None, "", 0.5), (2, "a b", 0.5), (2, "a b", 0.5), (3, "x " * 50000, 0.5)], "doc_id long, text string, score double")
     lab = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
