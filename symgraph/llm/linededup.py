@@ -18,9 +18,6 @@ from symgraph.llm.common import arrow, cut, fresh, shared_filter
 LINE_WORDS, PLACES = 25, 8
 #: Bytes of text that are hashed at once.
 HASHED_BYTES = 1 << 19
-#: Words beside a line that go with it.
-_SIDE = 2 * PLACES
-
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Lead bytes of the characters of scripts without spaces: a word each.
 _ALONE = (np.arange(256) >= 0xE3) & (np.arange(256) <= 0xE9)
@@ -145,54 +142,60 @@ def lines_in(words: np.ndarray, of: np.ndarray, n: int = LINE_WORDS, places: int
     return place, h
 
 
-def _line_batches(shared=None):
-    """(h, doc_id) of all lines; with a filter, (h, doc_id, at, side) of those in it."""
+def _short(words: np.ndarray) -> np.ndarray:
+    """16 bits of each word's hash, none of them 0."""
+    return np.maximum(words >> np.uint64(48), 1).astype(np.uint16)
+
+
+def _key(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of a place in a text."""
+    return _mixed(doc.astype(np.int64).view(np.uint64) * np.uint64(_BASES[0]) + at.astype(np.int64).view(np.uint64) * np.uint64(_BASES[1]))
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some texts after others (columns doc_id, t, text): the document of each line,
+    the hash of its text and its place (as one number), its hash, its first word,
+    the hashes of all words and the text each is of."""
+    for b in batches:
+        ids, marks = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+        for first, words, of in _slices(b.column(2).to_pylist()):
+            place, h = lines_in(words, of)
+            row = first + of[place]
+            at = (marks[row] << 32) | (place - np.searchsorted(of, of[place], "left"))
+            yield ids.take(pa.array(row)), at, h, place, words, of
 
+
+def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, _, h, *_ in _lines(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids], names=["h", "doc_id"])
+
+
+def _place_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            ids, marks = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
-            for first, words, of in _slices(texts):
-                place, h = lines_in(words, of)
-                if shared is not None:
-                    held = shared.holds(h)
-                    place, h = place[held], h[held]
-                if not len(h):
-                    continue
-                cols = [pa.array(h.view(np.int64)), ids.take(pa.array(first + of[place]))]
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays(cols, names=["h", "doc_id"])
-                    continue
-                begin, end = (np.searchsorted(of, of[place], x)[:, None] for x in ("left", "right"))
-                at = (marks[first + of[place]] << 32) | (place - begin[:, 0])
-                near = place[:, None] + np.concatenate([np.arange(-PLACES, 0), np.arange(LINE_WORDS, LINE_WORDS + PLACES)])
-                short = np.maximum(words >> np.uint64(48), 1).astype(np.uint16)[np.clip(near, 0, len(words) - 1)]
-                side = np.ascontiguousarray(np.where((near >= begin) & (near < end), short, np.uint16(0)))
-                bounds = pa.py_buffer((np.arange(len(h) + 1) * 2 * _SIDE).astype(np.int32))
-                packed = pa.Array.from_buffers(pa.binary(), len(h), [None, bounds, pa.py_buffer(side)])
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(at), packed], names=["h", "doc_id", "at", "side"])
+        for ids, at, h, *_ in _lines(batches):
+            held = np.flatnonzero(shared.holds(h))
+            yield pa.RecordBatch.from_arrays([pa.array(h[held].view(np.int64)), ids.take(pa.array(held)), pa.array(at[held])], names=["h", "doc_id", "at"])
 
     return run
 
 
-def _sides(col: pa.Array) -> np.ndarray:
-    start, end = np.frombuffer(col.buffers()[1], np.int32)[[col.offset, col.offset + len(col)]]
-    return np.frombuffer(col.buffers()[2], np.uint8)[start:end].copy().view(np.uint16).reshape(len(col), _SIDE)
+def _side_batches(asked):
+    """(key, side): PLACES words before and after the lines at the places asked for, 0
+    beyond the text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, at, _, place, words, of in _lines(batches):
+            key = _key(ids.to_numpy(zero_copy_only=False), at)
+            held = np.flatnonzero(asked.holds(key))
+            place = place[held]
+            begin, end = (np.searchsorted(of, of[place], x)[:, None] for x in ("left", "right"))
+            near = place[:, None] + np.concatenate([np.arange(-PLACES, 0), np.arange(LINE_WORDS, LINE_WORDS + PLACES)])
+            some = _short(words[np.clip(near, 0, max(0, len(words) - 1))]) if len(place) else np.zeros((0, 2 * PLACES), np.uint16)
+            side = np.where((near >= begin) & (near < end), some, np.uint16(0))
+            packed = pa.array([x.tobytes() for x in side], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key[held].view(np.int64)), packed], names=["key", "side"])
 
-def _extend_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words to both sides of a line that a document and the first holder share."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        same = _sides(b.column(4)) == _sides(b.column(5))
-        left = np.cumprod(same[:, PLACES - 1 :: -1], axis=1).sum(axis=1)
-        right = np.cumprod(same[:, PLACES:], axis=1).sum(axis=1)
-        at, there = (b.column(i).to_numpy() for i in (1, 3))
-        pos, other = at & 0xFFFFFFFF, there & 0xFFFFFFFF
-        left = np.minimum(np.minimum(pos, other), left)
-        cols = [b.column(0), pa.array(at >> 32), b.column(2), *(pa.array(x.astype(np.int32)) for x in (pos, other, left, right))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "o", "pos", "other", "l", "r"])
+    return run
 
 
 def patience(other: np.ndarray) -> np.ndarray:
@@ -217,35 +220,29 @@ def patience(other: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def align(pos: np.ndarray, other: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int, int]]:
+def align(pos: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int]]:
     """The common blocks of a document and a partner, from their common lines at
-    word ``pos`` and ``other`` with ``left`` and ``right`` further equal words:
-    ``(first word, word after the last, first word in the partner, pass)``.
+    word ``pos`` and ``other``: ``(first line, last line, pass)``, by index.
 
     Lines occur once on either side (a repeated line by its number), so all are
     anchors of the patience diff: a longest run of lines in the order of both is
-    aligned, neighbours at one distance make a block. What is left has moved; it
-    is aligned again (the next pass), until no common line is left."""
-    order = np.argsort(pos, kind="stable")
-    pos, other, left, right = pos[order], other[order], left[order], right[order]
-    out = []
-    rest, turn = np.arange(len(pos)), 0
+    aligned, overlapping neighbours at one distance make a block. What is left has
+    moved; it is aligned again (the next pass), until no common line is left."""
+    rest, turn, out = np.argsort(pos, kind="stable"), 0, []
     while len(rest):
         hit = patience(other[rest])
         i = rest[hit]
-        a, b, shift = pos[i] - left[i], pos[i] + LINE_WORDS + right[i], other[i] - pos[i]
         new = np.ones(len(i), bool)
-        new[1:] = (shift[1:] != shift[:-1]) | (a[1:] > b[:-1])
+        new[1:] = (np.diff(other[i] - pos[i]) != 0) | (np.diff(pos[i]) > LINE_WORDS)
         start = np.flatnonzero(new)
-        ends = np.maximum.reduceat(b, start)
-        first = np.minimum.reduceat(a, start)
-        out += zip(first.tolist(), ends.tolist(), (first + shift[start]).tolist(), [turn] * len(start), strict=True)
+        out += [(int(i[x]), int(i[y - 1]), turn) for x, y in zip(start, np.append(start[1:], len(i)), strict=True)]
         rest = np.delete(rest, hit)
         turn += 1
     return out
 
 
-_BLOCK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("o", pa.int64()), ("other", pa.int32()), ("turn", pa.int32())])
+_BLOCK = {"a": pa.int32(), "b": pa.int32(), "o": pa.int64(), "other": pa.int64(), "turn": pa.int32(), "lk": pa.int64(), "rk": pa.int64()}
+_BLOCKS = "array<struct<a:int,b:int,o:long,other:long,turn:int,lk:long,rk:long>>"
 
 
 def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,24 +250,34 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         blocks, counts = [], []
         col = b.column(2)
         bounds = col.offsets.to_numpy()
-        flat = [col.values.field(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        flat = [col.values.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
         for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-            o, pos, other, left, right = (f[x:y] for f in flat)
+            o, pos, there = (f[x:y] for f in flat)
+            key = _key(o, there).view(np.int64)
             found = []
             for p in np.unique(o):
                 k = np.flatnonzero(o == p)
-                found += [{"a": i, "b": j, "o": p, "other": m, "turn": n} for i, j, m, n in align(pos[k], other[k], left[k], right[k])]
+                for i, j, turn in align(pos[k], there[k] & 0xFFFFFFFF):
+                    i, j = k[i], k[j]
+                    found.append({"a": pos[i], "b": pos[j] + LINE_WORDS, "o": p, "other": there[i] & 0xFFFFFFFF, "turn": turn, "lk": key[i], "rk": key[j]})
             blocks.append(sorted(found, key=lambda f: (f["a"], f["b"], f["o"])))
             counts.append(y - x)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int32()), pa.array(blocks, pa.list_(_BLOCK))], names=["doc_id", "t", "n", "blocks"])
+        kind = pa.list_(pa.struct(list(_BLOCK.items())))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int32()), pa.array(blocks, kind)], names=["doc_id", "t", "n", "blocks"])
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    return own.select(F.col(id_col).cast("long").alias("doc_id"), mark(text).alias("t"), text.cast("binary").alias("text"))
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, t, n, blocks array<struct<a, b, o, other, turn>>)`` for the texts that
-    hold lines of an earlier document (smaller id): by id and hash of the text, the
-    number of such lines, and the blocks that align with partner ``o``, from word a
-    to before word b (``b`` may pass the end of the text), in the partner from
-    word ``other``.
+    """``(doc_id, t, n, blocks array<struct<a, b, o, other, turn, lk, rk>>)`` for the texts
+    that hold lines of an earlier document (smaller id): by id and hash of the text,
+    the number of such lines, and the blocks of lines that align with partner ``o``,
+    from word a to before word b, in the partner from word ``other``; ``lk`` and
+    ``rk`` are keys of the partner's lines at both ends (see ``ends``).
 
     A line is ``LINE_WORDS`` words at a place that the words choose, wherever
     sentences and line ends are; white space doesn't count. A line is thus rare by
@@ -280,25 +287,35 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     held back by a filter before the second shuffle. The first holder is found by
     a minimum that is pre-aggregated; the join that distributes it has one row per
     line on the right, so adaptive execution may split a line of a third of all
-    documents. With each line go its PLACES neighbouring words on both sides
-    (16 bits each), since a run goes on for fewer beyond its last line: blocks
-    end where the equal words end. So every run of LINE_WORDS + PLACES - 1 words
-    that an earlier document holds goes, shorter ones where they hold a line; only
-    where the first holder of the line at an end goes on differently than another
-    holder, up to PLACES - 1 words may stay at that end."""
-    text = F.col(text_col).cast("string")
-    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    own = own.select(F.col(id_col).cast("long").alias("doc_id"), mark(text).alias("t"), text.cast("binary").alias("text"))
-    every = own.transform(arrow, _line_batches(), "h long, doc_id long")
-    owner = cut(every.groupBy("h").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").select("h", "o"))
-    shared = shared_filter(owner)
-    occ = cut(own.transform(arrow, _line_batches(shared), "h long, doc_id long, at long, side binary"))
-    first = occ.join(owner.select(F.col("h").alias("g"), "o"), (F.col("h") == F.col("g")) & (F.col("doc_id") == F.col("o")))
-    first = first.groupBy("g").agg(F.min("o").alias("o"), F.min("at").alias("there"), F.min_by("side", "at").alias("theirs"))
-    pairs = occ.join(first.hint("merge"), F.col("h") == F.col("g")).where("doc_id > o").select("doc_id", "at", "o", "there", "side", "theirs")
-    lines = pairs.transform(arrow, _extend_batches, "doc_id long, t long, o long, pos int, other int, l int, r int")
-    each = lines.groupBy("doc_id", "t").agg(F.collect_list(F.struct("o", "pos", "other", "l", "r")).alias("lines"))
-    return each.transform(arrow, _align_batches, "doc_id long, t long, n int, blocks array<struct<a:int,b:int,o:long,other:int,turn:int>>")
+    documents."""
+    own = _own(docs, id_col, text_col)
+    every = own.transform(arrow, _hash_batches, "h long, doc_id long")
+    shared = shared_filter(every.groupBy("h").agg(F.min("doc_id").alias("o"), F.max("doc_id").alias("m")).where("o < m").select("h"))
+    occ = own.transform(arrow, _place_batches(shared), "h long, doc_id long, at long")
+    first = occ.groupBy(F.col("h").alias("g")).agg(F.min(F.struct("doc_id", "at")).alias("f"))
+    pairs = occ.join(first.hint("merge"), F.col("h") == F.col("g")).where(F.col("doc_id") > F.col("f.doc_id"))
+    line = F.struct(F.col("f.doc_id").alias("o"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), F.col("f.at").alias("there"))
+    each = pairs.groupBy("doc_id", F.shiftright("at", 32).alias("t")).agg(F.collect_list(line).alias("lines"))
+    return each.transform(arrow, _align_batches, f"doc_id long, t long, n int, blocks {_BLOCKS}")
+
+
+def ends(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, found array<struct<t, n, a, b, o, turn, left, right>>)``: the blocks of
+    ``found`` (as from ``blocks``) of each document, with the PLACES words before
+    and after them in the partner, 16 bits each. A run goes on for fewer beyond its
+    last line, so what is compared with these finds where the equal words end: every
+    run of LINE_WORDS + PLACES - 1 words that an earlier document holds goes, shorter
+    ones where they hold a line; only where the first holder of the line at an end
+    goes on differently than another holder, up to PLACES - 1 words may stay there.
+
+    Only lines asked for, found by a filter of their places, are shuffled."""
+    rows = found.select("doc_id", "t", "n", F.explode("blocks").alias("k")).select("doc_id", "t", "n", "k.*")
+    asked = shared_filter(rows.select(F.explode(F.array("lk", "rk")).alias("h")))
+    sides = _own(docs, id_col, text_col).transform(arrow, _side_batches(asked), "key long, side binary").dropDuplicates(["key"])
+    left = sides.select(F.col("key").alias("lk"), F.substring("side", 1, 2 * PLACES).alias("left"))
+    right = sides.select(F.col("key").alias("rk"), F.substring("side", 2 * PLACES + 1, 2 * PLACES).alias("right"))
+    told = rows.join(left.hint("merge"), "lk", "left").join(right.hint("merge"), "rk", "left")
+    return told.groupBy("doc_id").agg(F.collect_list(F.struct("t", "n", "a", "b", "o", "turn", "left", "right")).alias("found"))
 
 
 def mark(text):
@@ -334,6 +351,13 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return b"".join(out).decode("utf-8", "surrogatepass"), gone
 
 
+def _beyond(own: np.ndarray, theirs: bytes | None) -> int:
+    """Equal words from the start of both."""
+    side = np.frombuffer(theirs or b"", np.uint16)[: len(own)]
+    same = own[: len(side)] == side
+    return len(side) if same.all() else int(same.argmin())
+
+
 def _rebuilt(text: pd.Series, t: pd.Series, found: pd.Series) -> pd.DataFrame:
     out = []
     for x, h, sets in zip(text, t, found, strict=True):
@@ -341,9 +365,15 @@ def _rebuilt(text: pd.Series, t: pd.Series, found: pd.Series) -> pd.DataFrame:
         if not mine:
             out.append((x, 0, 0, 0, 0, 0))
             continue
-        rows = mine[0]["blocks"]
-        new, words = without(x, [(int(r["a"]), int(r["b"])) for r in rows])
-        out.append((new, int(mine[0]["n"]), words, len(rows), sum(r["turn"] > 0 for r in rows), len({r["o"] for r in rows})))
+        raw = x.encode("utf-8", "surrogatepass")
+        words = _short(_long_hashes(raw))
+        spans = []
+        for r in mine:
+            a, b = int(r["a"]), int(r["b"])
+            back = np.frombuffer(r["left"] or b"", np.uint16)[::-1].tobytes()
+            spans.append((a - _beyond(words[max(0, a - PLACES) : a][::-1], back), b + _beyond(words[b : b + PLACES], r["right"])))
+        new, gone = without(x, spans)
+        out.append((new, int(mine[0]["n"]), gone, len(mine), sum(r["turn"] > 0 for r in mine), len({r["o"] for r in mine})))
     return pd.DataFrame(out, columns=["text", "lines", "words", "blocks", "moved", "partners"])
 
 
@@ -364,7 +394,7 @@ def dedup_flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines the smallest id keeps its own. A very long text is hashed by parts; it
     takes about 60 bytes a word of a worker. An empty table gives none. Other
     columns are untouched, whatever their names."""
-    found = cut(blocks(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("t", "n", "blocks")).alias("found")))
+    found = cut(ends(docs, cut(blocks(docs, id_col, text_col)), id_col, text_col))
     lossy = shared_filter(found.select(F.xxhash64("doc_id").alias("h")))
     lost, key, sets, new = (fresh(docs, x) for x in ("lost", "key", "sets", "new"))
     may = F.pandas_udf(lambda h: pd.Series(lossy.holds(h.to_numpy(np.int64).view(np.uint64))), "boolean")
