@@ -106,8 +106,16 @@ def give_back() -> None:
         pass
 
 
+#: Bytes of a batch between Spark and its workers, where the session has Spark's default of 64 MB.
+BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with bounded slices, and memory given back after each task."""
+    """``mapInArrow`` with bounded slices, and memory given back after each task. Sets
+    the session's bytes of a batch to BATCH_BYTES where they are at the default:
+    each of the tasks of an executor holds some batches on both sides."""
+    if df.sparkSession.conf.get(_BATCH, None) == f"{64 << 20}b":
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

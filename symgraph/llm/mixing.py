@@ -279,7 +279,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 20) -> Data
                         take, shards, texts, held = [], [], [], 0
             yield _rows(cols, take, shards, texts, at, count)
 
-    out = both.select("doc", "size", "ranges").transform(arrow, run, kind).repartition("shard")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = both.select("doc", "size", "ranges").transform(arrow, run, kind).repartitionById(parts, (F.col("shard") % parts).cast("int"))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
