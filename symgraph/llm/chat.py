@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,7 @@ def _formatter(path: str, role: str):
                     turns = [(t["role"] or "", t["text"] or "") for t in conv]
                     text, spans = render(turns)
                     e = tok.encode(text, add_special_tokens=False)
-                    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
+                    offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
                     texts.append(text)
                     ids.append(np.array(e.ids, np.int32))
                     loss.append(mask(offsets, [s for s, (r, _) in zip(spans, turns, strict=True) if r == role]))
@@ -136,12 +137,15 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, loss_role: str =
     role, text)``: the rendered text, its token ids from one encoding, and for
     each token with loss the characters of it that belong to a ``loss_role`` text.
 
-    Turns are ordered by turn, role and text (nulls first); null roles and texts
-    are empty; repeated rows are turns of their own; rows with a null conv_id form
-    one conversation; an empty table gives no rows. A conversation is one string,
-    so its turns are gathered; nothing else is grouped."""
+    Turns are ordered by turn, role and text (nulls first), ties being equal rows;
+    null roles and texts are empty; repeated rows are turns of their own; each row
+    with a null conv_id is a conversation of its own, so that no task gathers them;
+    an empty table gives no rows. A conversation is one string, so its turns are
+    gathered, a very long text with them; nothing else is grouped. Only the four
+    columns named are read, so others may have any name."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    convs = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    convs = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    convs = convs.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", "turns")
     return convs.transform(arrow, _formatter(tokenizer_path, loss_role), _OUT)
 
 
@@ -177,7 +181,8 @@ PROBE = "\\### Assistant: </turn> ok"
 
 
 def op10_chat(rows: DataFrame, tokenizer_path: str) -> DataFrame:
-    """The query's columns, over all conversations and the one of the contract."""
+    """The query's columns, over all conversations and the one of the contract; odd
+    rows as in ``format_conversations``."""
     probe = rows.sparkSession.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     both = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
     return digests(format_conversations(both, tokenizer_path))
@@ -189,7 +194,7 @@ WITH r AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', 'assistant', '\### Assistant: </turn> ok'
 ), e AS (
-  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS et,
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS et,
     replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS er
   FROM r
 )
@@ -198,5 +203,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(4 + length(er) + 2 + length(et) + 8) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """

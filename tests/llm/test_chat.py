@@ -23,9 +23,11 @@ def test_round_trip_and_mask(turns):
 
 
 def test_frame(spark):
-    rows = [(1, 1, "assistant", "b", 0), (1, 0, "user", "a", 0), (1, 2, "assistant", None, 0), (1, None, None, "n", 0), (1, 1, "assistant", "b", 0), (None, 0, "assistant", "日本🙂", 0), (2, 0, "user", "", 0), (3, 0, "assistant", "long </turn> " * 20000, 0)]
+    rows = [(1, 1, "assistant", "b", 0), (1, 0, "user", "a", 0), (1, 2, "assistant", None, 0), (1, None, None, "n", 0), (1, 1, "assistant", "b", 0), (None, 0, "assistant", "日本🙂", 0), (None, 0, "assistant", "日本🙂", 0), (2, 0, "user", "", 0), (3, 0, "assistant", "long </turn> " * 20000, 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss int")
-    got = {r.conv_id: r for r in chat.op10_chat(df, PATH).collect()}
+    found = chat.op10_chat(df, PATH).collect()
+    got = {r.conv_id: r for r in found}
+    assert [r.n_turns for r in found if r.conv_id is None] == [1, 1]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert set(got) == {1, 2, 3, None, -7}
     assert tuple(got[1])[1:5] == (5, sha("\nn\nuser\na\nassistant\nb\nassistant\nb\nassistant\n\n"), 2, sha("bb"))
