@@ -23,8 +23,10 @@ CELLS = 1 << 25
 LEAST_DF, MOST_SHARE = 2, 0.01
 #: Hash functions, and the classes of each that serve as lexicon subsets.
 FUNCTIONS, CLASSES = 8, 16
-#: Cells of a counting range; documents of an order range.
-RANGE_CELLS, RANGE_DOCS = 1 << 17, 2_000
+#: Cells of a counting range; documents of an order range, of which there are
+#: MAX_RANGES at most (8 MB of ids; ranges of more documents beyond it, which are
+#: sorted and streamed, never held).
+RANGE_CELLS, RANGE_DOCS, MAX_RANGES = 1 << 17, 2_000, 1 << 20
 
 
 def terms(text: bytes) -> set[bytes]:
@@ -84,7 +86,8 @@ def _band_bits(least: int, most: int):
 
 
 def band(docs: DataFrame, text_col: str = "text", least: int = LEAST_DF, most: float = MOST_SHARE) -> np.ndarray:
-    """A bit per cell: whether its document frequency, over all rows of ``docs``,
+    """A bit per cell: whether its document frequency (of all terms in the cell; with
+    far more distinct terms than cells rare terms that share one come into the band), over all rows of ``docs``,
     lies in the band of ``least`` documents to a share ``most`` of them, that is,
     its inverse document frequency in ln(1/most) to ln(N/least). Counts are
     summed in the workers first, and travel packed by range of cells; a range is
@@ -118,8 +121,8 @@ class Lexicon:
 
     def subsets(self, h: np.ndarray, level: int) -> np.ndarray:
         """A hash for each subset at density 2^-level, 0 where it holds no term of
-        the text: the sum over its terms, sorted and distinct, of their mixed
-        hashes."""
+        the text: the sum over its sorted distinct terms of their mixed hashes, which
+        stands for a hash of their sequence, since sorted terms have but one."""
         out = np.zeros(FUNCTIONS * CLASSES, np.uint64)
         m = h[None, :] ^ self.salts[:, None]
         m = (m ^ (m >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -175,6 +178,26 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_terms, level, subsets array<long>)`` per row: the terms within the
+    band, the density that suits their number, and a hash for each subset at it
+    (0: the subset holds no term of the text). Documents match where subset hashes
+    at one place and level are equal. Odd rows as in ``compare_neighbours``."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bits = docs.sparkSession.sparkContext.broadcast(band(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(bits.value)
+        for b in batches:
+            found = [Print(lexicon, (t or "").encode()) for t in b.column(1).to_pylist()]
+            levels = [level_of(p.n) for p in found]
+            subsets = [p.table(n).view(np.int64) for p, n in zip(found, levels, strict=True)]
+            cols = [b.column(0), pa.array([p.n for p in found], pa.int64()), pa.array(levels, pa.int32()), pa.array(subsets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_terms", "level", "subsets"])
+
+    return own.transform(arrow, run, "doc_id long, n_terms long, level int, subsets array<long>")
+
+
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -225,7 +248,9 @@ def compare_neighbours(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFra
     (see ``edited``) and their likeness, and the likeness to the next document's.
 
     Null texts are empty; null ids come after all others; repeated ids are ordered
-    by text; a single document is its own next; an empty table gives no rows.
+    by text, equal rows in any order; a single document is its own next; an empty
+    table gives no rows. A very long text is held whole by one worker, with its
+    terms. Only the two columns are read, so others may have any name.
 
     The order is cut at exact ids into ranges of about ``range_docs`` documents.
     Each text is shuffled once, to its range; the first document of a range goes
@@ -240,13 +265,12 @@ def compare_neighbours(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFra
         return spark.createDataFrame([], _OUT)
     top = (1 << 63) - 1
     order = F.coalesce("doc_id", F.lit(top))
-    parts = max(1, -(-n // range_docs))
-    found = _cuts(ids.select(order.alias("o")), parts)
-    cuts = np.array(found, np.int64)
+    parts = min(MAX_RANGES, max(1, -(-n // range_docs)))
+    held = spark.sparkContext.broadcast(np.array(_cuts(ids.select(order.alias("o")), parts), np.int64))
 
     @F.pandas_udf("array<int>")
     def ranges_of(o: pd.Series) -> pd.Series:
-        v = o.to_numpy(np.int64)
+        v, cuts = o.to_numpy(np.int64), held.value
         r = np.searchsorted(cuts, v, "right") - 1
         first = cuts[np.clip(r, 0, None)] == v
         return pd.Series([[int(a), int(a - 1) % len(cuts)] if f else [int(a)] for a, f in zip(r, first, strict=True)])
@@ -275,5 +299,5 @@ def _cuts(ids: DataFrame, parts: int) -> list[int]:
 
 
 def op9_imatch(docs: DataFrame) -> DataFrame:
-    """The query's columns."""
+    """The query's columns; odd rows as in ``compare_neighbours``."""
     return compare_neighbours(docs)

@@ -29,6 +29,19 @@ def test_against_brute_force(spark):
     assert np.mean([r.near_edited for r in long]) > 0.35 > 0.1 > np.mean([r.near_next for r in long])
 
 
+def test_subset_hashes_match_near_copies(spark):
+    rng = random.Random(7)
+    text = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    near = text.copy()
+    near[100] = "changed"
+    rows = [(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(reversed(text))), (4, None)] + [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(200))) for i in range(10, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in imatch.fingerprints(df).collect()}
+    assert len(got) == len(rows) and got[1].subsets == got[3].subsets and got[4].n_terms == 0
+    same = lambda a, b: sum(x == y != 0 for x, y in zip(got[a].subsets, got[b].subsets))
+    assert got[1].level == got[2].level and same(1, 2) > 0.7 * sum(x != 0 for x in got[1].subsets) and same(1, 10) <= 2
+
+
 def test_band_counts_documents(spark):
     df = spark.createDataFrame([("rare common x",), ("rare common",), ("common once",), ("common",), (None,)] + [(f"common f{i}",) for i in range(400)], "text string")
     lexicon = imatch.Lexicon(imatch.band(df))
