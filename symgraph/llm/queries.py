@@ -32,6 +32,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.op4_urls(_t(spark, sf_dir, "pages"))
 
 
+def op4_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.op4_aliases(_t(spark, sf_dir, "pages"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op5_topk(_t(spark, sf_dir, "embeddings"))
 
@@ -57,8 +61,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_urls, op5_topk, op6_mixing, op7_line_dedup, op8_warc, op9_imatch, op10_chat)
+    f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_urls, op4_aliases, op5_topk, op6_mixing, op7_line_dedup, op8_warc, op9_imatch, op10_chat)
 }
 
 #: Learnt scores, XXH64, patience, permutations and the tokenizer have no SQL form.
-ORACLES: dict[str, str] = {"op4_urls": urls.ORACLE, "op5_topk": topk.ORACLE, "op8_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op4_urls": urls.ORACLE, "op4_aliases": urls.ALIASES, "op5_topk": topk.ORACLE, "op8_warc": warc.ORACLE, "op10_chat": chat.ORACLE}

@@ -108,7 +108,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other rows within ``radius`` bits, and the smallest id reachable over such
     links. Null ids take part in counts but never name a component unless all its
     ids are null; a repeated id counts as one document per row; blank texts link
-    with each other; an empty table gives no rows.
+    with each other; ties of ids don't arise, since equal fingerprints are one; a very
+    long text is hashed whole, in memory linear in its words; an empty table gives no
+    rows. Only the two columns named are read, so others may have any name.
 
     Copies collapse to one fingerprint before any join, so a group of copies,
     however large, costs one row; its members are only counted.

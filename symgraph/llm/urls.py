@@ -115,7 +115,10 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[
     ``default``. Aliases are the urls joined by canonical links and refresh
     redirects in the pages, and by ``redirects(source, target)`` if given; also
     targets without a page count. Null urls have no aliases; null html has no
-    links; repeated rows are judged each; an empty table gives no rows.
+    links; repeated rows are judged each; of rules that fit the longest wins, and
+    two of one length can't both fit; a very long url or html is matched whole by
+    one expression; an empty table gives no rows. Only the three columns named are
+    read, so others may have any name.
 
     Only urls with edges enter the components, whose decisions are aggregated to
     one row per component before they are joined."""
@@ -139,10 +142,18 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[
 
 
 def op4_urls(pages: DataFrame) -> DataFrame:
-    """The query's columns."""
+    """The query's columns; odd rows as in ``judge``."""
     return judge(pages)
 
 
+def op4_aliases(pages: DataFrame) -> DataFrame:
+    """As ``op4_urls``, where a page also redirects to the page of smallest id that has
+    the same html, so that decisions propagate to mirrors."""
+    own = pages.where("html is not null and url is not null").select("page_id", "url", F.sha2(F.col("html"), 256).alias("d"))
+    first = own.groupBy("d").agg(F.min_by("url", F.struct("page_id", "url")).alias("target"))
+    return judge(pages, own.join(first, "d").select(F.col("url").alias("source"), "target"))
+
+
 def _attr_sql(name: str) -> str:
     form = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))"""
     return " || ".join(f"regexp_extract(tag, '{form}', {i})" for i in (1, 2, 3))
@@ -152,8 +163,9 @@ _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in DEFAULT_RULES)
 _PARTS = rf"""coalesce(translate(regexp_extract({{u}}, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS {{p}}host,
     coalesce(regexp_extract({{u}}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS {{p}}path, coalesce(regexp_extract({{u}}, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS {{p}}q"""
 
-#: The whole method in DuckDB's SQL, with a recursive closure for the components.
-ORACLE = rf"""
+#: The whole method in DuckDB's SQL, with a recursive closure for the components;
+#: @MORE@ stands for further edges (node, url).
+_SQL = rf"""
 WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {_RULE_ROWS}), p AS (
   SELECT page_id, url, html, {_PARTS.format(u="url", p="")} FROM pages
 ), n AS (SELECT *, CASE WHEN host <> '' THEN host || path || q END AS node FROM p
@@ -166,7 +178,7 @@ WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {_RULE_ROWS}), p AS (
 ), r AS (
   SELECT node, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t
     WHEN starts_with(t, '/') THEN 'x://' || host || t WHEN starts_with(t, '?') THEN 'x://' || host || path || t WHEN starts_with(t, '#') THEN url
-    ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || CASE WHEN path = '' THEN '/' ELSE '' END || t END AS u FROM t WHERE t <> ''
+    ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || CASE WHEN path = '' THEN '/' ELSE '' END || t END AS u FROM t WHERE t <> '' @MORE@
 ), m AS (SELECT node, {_PARTS.format(u="u", p="t")} FROM r
 ), e AS (SELECT DISTINCT node AS a, thost || tpath || tq AS b FROM m WHERE thost <> '' AND node <> thost || tpath || tq
 ), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e
@@ -183,3 +195,11 @@ WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {_RULE_ROWS}), p AS (
 SELECT page_id, n.host, n.path, rule, CASE WHEN v IS NOT NULL THEN v WHEN alias.node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM n LEFT JOIN own ON own.host = n.host AND own.path = n.path LEFT JOIN alias ON alias.node = n.node
 """
+
+ORACLE = _SQL.replace("@MORE@", "")
+ALIASES = _SQL.replace(
+    "@MORE@",
+    """UNION ALL SELECT n.node, f.url FROM n
+  JOIN (SELECT html, arg_min(url, struct_pack(i := page_id, u := url)) AS url FROM pages WHERE html IS NOT NULL AND url IS NOT NULL GROUP BY html) f ON n.html = f.html
+  WHERE n.node IS NOT NULL""",
+)

@@ -169,7 +169,10 @@ def write_archives(pages: DataFrame, base: str, archive_bytes: int = ARCHIVE_BYT
     records, bytes)``. A retried task writes files of other names, and only those
     of the attempt that succeeded are in the manifest, so lost executors leave
     whole archives. Null html is an empty payload; a null page_id or url has no
-    such header; repeated rows are records of their own."""
+    such header; repeated rows are records of their own, the first by digest and url of
+    those that tie for the smallest page_id being the response. A record, and so a
+    very long html, is held whole by one worker. An empty table gives an empty
+    manifest. Only the three columns named are read, so others may have any name."""
     fs, root = pafs.FileSystem.from_uri(base)
     fs.create_dir(root, recursive=True)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -228,7 +231,9 @@ def read_archives(manifest: DataFrame, base: str) -> DataFrame:
 
 
 def op8_warc(pages: DataFrame) -> DataFrame:
-    """Writes the archives to the shared folder and reads them back."""
+    """Writes the archives to the shared folder and reads them back; odd rows as in
+    ``write_archives``. The archives stay for the result's readers: they are the
+    operator's output."""
     base = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     base = base if "://" in base else f"file://{base}"
     return read_archives(write_archives(pages, base), base)

@@ -36,3 +36,15 @@ def test_aliases_in_sql(spark, tmp_path):
     got = urls.op4_urls(df).toPandas()
     assert rows(got) == rows(con.sql(urls.ORACLE).df())
     assert sorted(got[got.verdict == "block"].page_id) == [1, 2, 6, 7]
+
+
+def test_mirrors_in_sql(spark, tmp_path):
+    pages = [(1, "http://a.fr/1", "x"), (2, "http://x.com/en/9", "x"), (3, "http://b.fr/d", "y"), (4, "http://x.com/en/8", "y"), (5, "http://example.com/en/7", "y"), (6, None, "x"), (7, "http://c.fr", None), (8, "http://d.org/es/", "z"), (9, "http://e.fr", "z"), (9, "http://f.fr", "z")]
+    df = spark.createDataFrame([(*p, "h", "t", 1) for p in pages], "page_id long, url string, html string, host string, tag string, component int")
+    df.coalesce(1).write.parquet(f"{tmp_path}/p")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select page_id, url, html from '{tmp_path}/p/*.parquet'")
+    got = urls.op4_aliases(df).toPandas()
+    assert rows(got) == rows(con.sql(urls.ALIASES).df())
+    assert sorted(got[got.verdict == "block"].page_id) == [1, 2, 4, 8, 9, 9]
+    assert urls.op4_aliases(df.limit(0)).count() == 0
