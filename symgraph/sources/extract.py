@@ -64,23 +64,36 @@ class Extractor:
                 return i
         return i
 
+    def parameters(self, i: int) -> bool:
+        """Whether the parenthesis at i holds parameters, not a type."""
+        j = i + 1
+        if self.text(j) == ")" or self.text(j) == "...":
+            return True
+        after = self.t[j].mate + 1 if self.text(j) in ("{", "[") else j + 1
+        return self.text(after) in (":", "?", ",")
+
     def past_type(self, i: int) -> int:
-        """Past a type that begins at i: up to a brace, arrow or end after it."""
-        need = True
+        """Past a type that begins at i: up to a brace, arrow or end after it. An arrow
+        goes on with the type only where parameters stand before it."""
+        need, params = True, False
         while i < len(self.t):
             x = self.t[i]
             if need and x.text in ("{", "(", "["):
+                params = x.text == "(" and self.parameters(i)
                 i, need = x.mate + 1, False
-            elif x.text == "[" or (x.text == "(" and self.text(i - 1) not in (")",)):
+            elif x.text == "[" or (x.text == "(" and self.text(i - 1) in (">", "new", "import")):
+                params = x.text == "(" and self.text(i - 1) != "import"
                 i, need = x.mate + 1, False
             elif x.text == "<" and self.angle(i) > i:
-                i, need = self.angle(i), False
-            elif x.text == "=>" and not need and self.text(i - 1) == ")":
-                return i
-            elif x.text in ("|", "&", ".", "=>", "keyof", "typeof", "is", "asserts", "readonly", "extends", "infer", "?", ":") and x.text not in ("?", ":"):
-                i, need = i + 1, True
+                i, need, params = self.angle(i), False, False
+            elif x.text == "=>":
+                if need or not params:
+                    return i
+                i, need, params = i + 1, True, False
+            elif x.text in ("|", "&", ".", "keyof", "typeof", "is", "asserts", "readonly", "extends", "infer"):
+                i, need, params = i + 1, True, False
             elif need and x.kind in ("name", "string", "number"):
-                i, need = i + 1, False
+                i, need, params = i + 1, False, False
             else:
                 return i
         return i

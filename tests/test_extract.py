@@ -16,6 +16,16 @@ def test_declarations_and_lines():
     assert n == [("function", "a", 1, 2), ("class", "B", 3, 5), ("interface", "I", 6, 6), ("function", "c", 7, 8)]
 
 
+def test_arrows_with_return_types():
+    n, e = names(
+        "const a = (x: number): void => { g(x) }\nconst b = async (): Promise<Map<string, void>> => { g2() }\nconst c = (x): { y: number } => h(x)\n"
+        "const d = (x: A): x is B => k(x)\nconst f = (x): (y: number) => void => (y) => m(y)\nconst o = (x): (A | B) => { p(x) }\nconst q = <T,>(x: T): T[] => r(x)\n"
+        "const s = (): (() => void) => { t() }\nconst u = (x: (y: A) => B): typeof x => { v() }\nconst w = (): readonly string[] | null => z()\n"
+    )
+    assert [x[1] for x in n] == ["a", "b", "c", "d", "f", "o", "q", "s", "u", "w"] and all(x[0] == "function" for x in n)
+    assert [(s.split(":")[0], t.split(":")[0]) for s, t, *_ in e] == [("a", "g"), ("b", "g2"), ("c", "h"), ("d", "k"), ("f", "m"), ("o", "p"), ("q", "r"), ("s", "t"), ("u", "v"), ("w", "z")]
+
+
 def test_calls_belong_to_the_nearest_function():
     _, e = names("function a() {\n  b(); o.m();\n  new K();\n  const f = () => d();\n  [1].map((x) => e(x));\n}\ntop();\n")
     assert e == [("a:1", "b:0", "calls", "b:2:3"), ("a:1", "K:0", "calls", "K:3:7"), ("f:4", "d:0", "calls", "d:4:19"), ("a:1", "e:0", "calls", "e:5:18")]
