@@ -219,7 +219,7 @@ class Graph:
         f = self.functions
         one = f.select((F.col("p_partkey") - 1).alias("k1"), F.col("name").alias("h1"), "file")
         two = f.select((F.col("p_partkey") - 1).alias("k2"), F.col("name").alias("h2"))
-        n = 200
+        n = self.t("part").count()
         k = e.select((F.col("event_id") % n).alias("k1"), ((F.col("event_id") * 7 + 3) % n).alias("k2"), "event_type", path.alias("path"), (F.col("event_id") + 1).cast("int").alias("line"), "event_id")
         k = k.join(one, "k1").join(two, "k2")
         handlers = F.when(F.col("event_id") % 2 == 0, F.array("h1", "h2")).otherwise(F.array("h1"))
@@ -232,3 +232,12 @@ class Graph:
         f = self.functions
         other = f.select((F.col("p_partkey") + 25).alias("p_partkey"), F.col("name").alias("component"))
         return f.join(other, "p_partkey").select("file", F.col("start_line").alias("line"), F.lit(1).alias("col"), F.create_map(F.lit("COMPONENT"), F.array("component")).alias("captures"))
+
+
+#: Source texts of the queries on texts.
+SNIPPETS = [
+    ("src/a.ts", "import { b as c } from './b'\nexport function a(x: number) {\n  return c(x)\n}\napp.get('/a', a, b)\n"),
+    ("src/b.tsx", "export const B = () => <A id={1} />\nfunction A() { return null }\nclass K implements I {}\ninterface I {}\n"),
+    ("src/c.ts", "const run = async (n: number): Promise<void> => {\n  await load(n)\n}\nconst pick = (x): (y: number) => void => (y) => new Sink(y)\napp.post('/c', run)\n"),
+    ("src/broken.ts", "function x( {"),
+]

@@ -6,7 +6,7 @@ import math
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions import UNRESOLVED, classify
@@ -16,16 +16,29 @@ from symgraph.schema import EDGE_COLS, IMPACT_DEPTH, NODE_COLS, SECTION_LIMIT
 BROADCAST_IDS = 20_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the folder that the cluster shares
+def _shared(spark: SparkSession) -> None:
+    """Sets Spark's checkpoint folder to the one that the cluster shares
     (``spark.checkpoint.dir``); a folder of this machine only on a local master."""
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="symgraph-"))
+
+
+def shared_path(spark: SparkSession) -> str:
+    """The shared folder as a path, for files that aren't tables; it must be mounted."""
+    _shared(spark)
+    where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if "://" in where and not where.startswith("file:"):
+        raise ValueError("the shared folder isn't mounted as a path")
+    return where.removeprefix("file:").replace("//", "/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the folder that the cluster shares."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -67,13 +80,14 @@ def sections(found: DataFrame) -> DataFrame:
 
 def ranked(found: DataFrame, limit: int = SECTION_LIMIT) -> DataFrame:
     """The best ``limit`` of each section by confidence, then age (newest first),
-    then out before in, then edge key; with ``rn`` and ``omitted``. The count comes
-    before the row number, so that the limit is applied ahead of the shuffle's sort."""
-    w = Window.partitionBy("center", "section")
-    out = found.withColumn("_n", F.count("*").over(w))
+    then out before in, then edge key; with ``rn`` and ``omitted``. Each task cuts a
+    section to its own best ``limit`` before the shuffle (window group limit), and
+    counts are pre-aggregated, so a hub costs a task no more than others."""
     order = [F.desc("confidence"), F.desc("created_at"), F.desc("dir"), "source", "target", "edge_kind", "provenance_source"]
-    out = out.withColumn("rn", F.row_number().over(w.orderBy(*order))).where(F.col("rn") <= limit)
-    return out.withColumn("omitted", F.greatest(F.col("_n") - limit, F.lit(0))).drop("_n")
+    out = found.withColumn("rn", F.row_number().over(Window.partitionBy("center", "section").orderBy(*order))).where(F.col("rn") <= limit)
+    sizes = found.groupBy(F.col("center").alias("_c"), F.col("section").alias("_s")).agg(F.count("*").alias("_n"))
+    out = out.join(sizes, (F.col("center") == F.col("_c")) & (F.col("section") == F.col("_s")))
+    return out.withColumn("omitted", F.greatest(F.col("_n") - limit, F.lit(0))).drop("_n", "_c", "_s")
 
 
 def implementers_listing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -159,9 +173,11 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def co_change(commits: DataFrame, share: float = 0.6) -> DataFrame:
     """Pairs of symbols of ``commits(commit, symbol)`` that are together in more than
-    ``share`` of the commits in which either is."""
+    ``share`` of the commits in which either is. A symbol that shares no commit is in
+    no pair, so commits of one symbol take no part in the join."""
     c = commits.select("commit", "symbol").distinct()
     each = c.groupBy("symbol").agg(F.count("*").alias("n"))
+    c = c.join(c.groupBy("commit").agg(F.count("*").alias("_k")).where("_k > 1").select("commit"), "commit", "left_semi")
     both = c.withColumnRenamed("symbol", "a").join(c.withColumnRenamed("symbol", "b"), "commit").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
     out = both.join(each.select(F.col("symbol").alias("a"), F.col("n").alias("na")), "a").join(each.select(F.col("symbol").alias("b"), F.col("n").alias("nb")), "b")
     return out.where(F.col("both") > share * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", "both", (F.col("na") + F.col("nb") - F.col("both")).alias("either"))

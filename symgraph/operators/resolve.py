@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions import MARKER, is_unresolved, parse_evidence, span
@@ -107,11 +107,13 @@ def _implements(met: DataFrame, edges: DataFrame, now: int) -> DataFrame:
 
 
 def markers(symbols: DataFrame, kind: str, now: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Marker nodes and edges that say ``symbols(id, file, content_hash)`` were looked
-    up for ``kind`` (callers or implementations)."""
+    """Marker nodes and edges that say ``symbols(id)`` were looked up for ``kind``
+    (callers or implementations). They belong to no source file, so the node stays
+    when the symbol's file is indexed again, while the edge goes."""
     mid = F.concat(F.lit(f"{MARKER}{kind}::"), "id")
-    n = symbols.select(mid.alias("id"), F.lit("module").alias("kind"), mid.alias("name"), "file", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "content_hash")
-    e = symbols.select(mid.alias("source"), F.col("id").alias("target"), F.lit("imports").alias("kind"), F.lit("lsp").alias("provenance_source"), F.lit(MARKER_CONFIDENCE).alias("confidence"), F.lit("resolver").alias("evidence"), "content_hash", F.lit(now).cast("long").alias("created_at"))
+    meta = F.lit("meta").alias("content_hash")
+    n = symbols.select(mid.alias("id"), F.lit("module").alias("kind"), mid.alias("name"), F.lit("__meta__/resolver").alias("file"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), meta)
+    e = symbols.select(mid.alias("source"), F.col("id").alias("target"), F.lit("imports").alias("kind"), F.lit("lsp").alias("provenance_source"), F.lit(MARKER_CONFIDENCE).alias("confidence"), F.lit(f"resolved:{kind}").alias("evidence"), meta, F.lit(now).cast("long").alias("created_at"))
     return n, e
 
 
@@ -125,13 +127,36 @@ def unmarked(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, kind: str)
     return symbols.join(done, "id", "left_anti")
 
 
-def should_mark(kind: str, status: str) -> bool:
-    """Callers: after a success, or when lookups could not start; implementations:
-    always, since the fallback has run."""
-    return kind == "implementations" or status in ("ok", "none", "startup_error")
-
-
-def make_id(file: str, name: str, line: int) -> str:
-    return f"{file}::{name}:{line}"
-
-
+def should_mark(kind: str, status: Column) -> Column:
+    """Callers: after a success (also an empty one), or when lookups could not start;
+    not after a passing error. Implementations: always, the fallback having run."""
+    return F.lit(True) if kind == "implementations" else F.coalesce(status, F.lit("none")).isin("ok", "none", "startup_error")
+
+
+def caller_flow(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, answers: DataFrame, now: int = 0) -> tuple[DataFrame, DataFrame]:
+    """New nodes and edges after the callers of ``symbols(id)`` were looked up, where no
+    valid marker says that they have been: calls from missing callers, and markers.
+    ``answers(symbol_id, status, ref_file, ref_line, ref_col)``; a symbol without a row
+    has no references. The worst status of a symbol counts, its good answers stay out
+    then, as the lookup failed as a whole."""
+    todo = unmarked(nodes, edges, symbols.select("id").distinct(), "callers")
+    failed = answers.where("status not in ('ok', 'none')").groupBy(F.col("symbol_id").alias("id")).agg(F.max("status").alias("status"))
+    told = todo.join(failed, "id", "left")
+    fine = told.where("status is null").select(F.col("id").alias("symbol_id"))
+    calls = missing_callers(nodes, edges, answers.where("status = 'ok'").join(fine, "symbol_id", "left_semi"), now)
+    n, e = markers(told.where(should_mark("callers", F.col("status"))).select("id"), "callers", now)
+    return n, calls.select(*EDGE_COLS).unionByName(e.select(*EDGE_COLS))
+
+
+def implementer_flow(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, answers: DataFrame, files: DataFrame, now: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The same for the implementers of ``symbols(id)``: from ``answers(symbol_id, status,
+    def_file, def_line, def_col)``; for an interface without a good answer (error or
+    empty) from ``files(file, content)`` by text. Both leave a marker."""
+    todo = unmarked(nodes, edges, symbols.select("id").distinct(), "implementations")
+    bad = answers.where("status not in ('ok', 'none')").select(F.col("symbol_id").alias("id"))
+    good = answers.where("status = 'ok'").select(F.col("symbol_id").alias("id")).distinct().join(bad, "id", "left_anti").join(todo, "id", "left_semi")
+    first = implementers(nodes, edges, answers.where("status = 'ok'").join(good.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi"), now)
+    rest = nodes.where("kind = 'class'").unionByName(nodes.join(todo.join(good, "id", "left_anti"), "id", "left_semi").select(*nodes.columns))
+    n, e = markers(todo, "implementations", now)
+    new = first.select(*EDGE_COLS).unionByName(implementers_by_text(rest, edges, files, now).select(*EDGE_COLS))
+    return n, new.unionByName(e.select(*EDGE_COLS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from symgraph.fixture import SNIPPETS
+
 NID = "{f} || '::' || {n} || ':' || CAST({l} AS VARCHAR)"
 
 GRAPH = r"""
@@ -65,7 +67,7 @@ WITH RECURSIVE fn AS (
   SELECT f || '::d' || doc_id || ':' || (doc_id % 5 + 1) AS id, 'function' AS kind, 'd' || doc_id AS name, f AS file, CAST(doc_id % 5 + 1 AS INTEGER) AS start_line,
     CAST(doc_id % 5 + 1 AS INTEGER) AS end_line, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha256(content) END AS content_hash
   FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'away/' || doc_id || '.ts' ELSE file END AS f FROM files)
-), centers AS (SELECT DISTINCT source AS id FROM edges WHERE source = target
+), centers AS (SELECT id FROM nodes
 ), nb AS (
   SELECT c.id AS center, 'out' AS dir, n.*, e.source, e.target, e.kind AS edge_kind, e.provenance_source, e.confidence, e.evidence, e.content_hash AS edge_hash, e.created_at
   FROM centers c JOIN edges e ON e.source = c.id JOIN nodes n ON n.id = e.target
@@ -153,8 +155,8 @@ FROM (SELECT unnest(['signature_change', 'removal', 'behavior_change', 'addition
     "symbol_column": f"SELECT file, CAST(greatest(instr({_SPLIT}[1], 'the'), 1) AS INTEGER) AS col FROM files",
     "parse_evidence": "SELECT source, target, split_part(evidence, ':', 1) AS name, CAST(split_part(evidence, ':', 2) AS INTEGER) AS line, CAST(split_part(evidence, ':', 3) AS INTEGER) AS col FROM sent",
     "resolve_calls": "SELECT s.source, n.id AS target, l.def_file || ':' || l.def_line || ':1' AS evidence, s.target AS old_target FROM sent s JOIN lookups l ON l.file = split_part(s.source, '::', 1) AND l.line = CAST(split_part(s.evidence, ':', 2) AS INTEGER) AND l.col = CAST(split_part(s.evidence, ':', 3) AS INTEGER) JOIN nodes n ON n.file = l.def_file AND n.start_line = l.def_line AND n.name = split_part(s.evidence, ':', 1)",
-    "confirm_calls": "SELECT s.source, s.target, n.start_line AS def_line FROM calls s JOIN nodes n ON n.id = s.target WHERE provenance_source = 'tree-sitter' AND CAST(split_part(evidence, ':', 2) AS INTEGER) % 2 = 0",
-    "enclosing_fn": "SELECT p.file, p.line, arg_min(f.id, (f.end_line - f.start_line, f.start_line, f.id)) AS function_id FROM (SELECT DISTINCT file, start_line AS line FROM fn WHERE start_line % 3 = 0) p JOIN fn f ON f.file = p.file AND f.start_line <= p.line AND f.end_line >= p.line GROUP BY p.file, p.line",
+    "confirm_calls": "SELECT s.source, s.target, n.start_line AS def_line FROM calls s JOIN nodes n ON n.id = s.target WHERE provenance_source = 'tree-sitter'",
+    "enclosing_fn": "SELECT p.file, p.line, arg_min(f.id, (f.end_line - f.start_line, f.start_line, f.id)) AS function_id FROM (SELECT DISTINCT file, start_line AS line FROM fn) p JOIN fn f ON f.file = p.file AND f.start_line <= p.line AND f.end_line >= p.line GROUP BY p.file, p.line",
     "missing_callers": ", m AS (SELECT symbol_id, ref_file, ref_line, arg_min(n.id, (n.start_line, n.id)) AS source FROM refs JOIN (SELECT * FROM nodes WHERE kind <> 'module') n ON n.file = ref_file AND n.start_line <= ref_line AND (n.end_line IS NULL OR n.end_line >= ref_line) GROUP BY 1, 2, 3) SELECT source, symbol_id AS target, min(ref_file || ':' || ref_line || ':1') AS evidence FROM m WHERE source <> symbol_id AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.source = m.source AND c.target = m.symbol_id) GROUP BY source, symbol_id",
     "implementers": ", a AS (SELECT itf.id AS symbol_id, cl.file AS def_file, cl.start_line + 1 AS def_line FROM cl JOIN itf ON n_nationkey = (s_nationkey + 1) % 25) SELECT source, symbol_id AS target, min(ev) AS evidence FROM (SELECT symbol_id, arg_min(c.id, (c.start_line, c.id)) AS source, def_file || ':' || def_line || ':1' AS ev FROM a JOIN cl c ON c.file = def_file AND c.start_line <= def_line GROUP BY symbol_id, def_file, def_line) WHERE NOT EXISTS (SELECT 1 FROM impl i WHERE i.source = source AND i.target = symbol_id AND false) GROUP BY source, symbol_id",
     "implementers_regex": "SELECT 'supplier/' || s_nationkey || '.ts::S' || s_suppkey || ':' || s_suppkey AS source, itf.id AS target, 'supplier/' || s_nationkey || '.ts:' || s_suppkey || ':1' AS evidence FROM supplier JOIN itf ON n_nationkey = s_nationkey WHERE s_suppkey % 5 <> 0",
@@ -162,18 +164,20 @@ FROM (SELECT unnest(['signature_change', 'removal', 'behavior_change', 'addition
     "trace_static": ", st AS (SELECT DISTINCT source, target FROM edges JOIN nodes ON id = target WHERE edges.kind = 'calls'), p AS (SELECT [id] AS path FROM nodes WHERE id = (SELECT min(id) FROM fn) UNION ALL SELECT list_append(path, target) FROM p JOIN st ON source = path[-1] WHERE len(path) < 3 AND NOT list_contains(path, target)) SELECT array_to_string(path, ' > ') AS path, CAST(len(path) - 1 AS INTEGER) AS depth FROM p",
     "pattern_2hop": ", a AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'imports'), b AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'routes_to') SELECT a.source AS a, a.target AS b, b.target AS c FROM a JOIN b ON a.target = b.source JOIN nodes x ON x.id = a.source JOIN nodes y ON y.id = a.target JOIN nodes z ON z.id = b.target",
     "co_change": ', c AS (SELECT DISTINCT o_custkey AS commit, o_orderpriority AS symbol FROM orders), n AS (SELECT symbol, count(*) AS n FROM c GROUP BY symbol), j AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS "both" FROM c x JOIN c y ON x.commit = y.commit AND x.symbol < y.symbol GROUP BY 1, 2) SELECT a, b, "both", na.n + nb.n - "both" AS either FROM j JOIN n na ON na.symbol = a JOIN n nb ON nb.symbol = b WHERE "both" > 0.6 * (na.n + nb.n - "both")',
+    "caller_flow": ", rk AS (SELECT *, CAST(split_part(symbol_id, ':', -1) AS INTEGER) AS k FROM refs), m AS (SELECT symbol_id, ref_file, ref_line, arg_min(n.id, (n.start_line, n.id)) AS source FROM (SELECT * FROM rk WHERE k % 3 <> 0 AND k % 5 <> 0) r JOIN (SELECT * FROM nodes WHERE kind <> 'module') n ON n.file = ref_file AND n.start_line <= ref_line AND (n.end_line IS NULL OR n.end_line >= ref_line) GROUP BY 1, 2, 3) SELECT source, symbol_id AS target, 'calls' AS kind, min(ref_file || ':' || ref_line || ':1') AS evidence FROM m WHERE source <> symbol_id AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.source = m.source AND c.target = m.symbol_id) GROUP BY source, symbol_id UNION ALL SELECT DISTINCT '__meta__::resolver::callers::' || symbol_id, symbol_id, 'imports', 'resolved:callers' FROM rk WHERE k % 3 <> 0 AND k % 5 <> 0",
+    "co_change_parts": ', c AS (SELECT DISTINCT l_orderkey AS commit, l_partkey AS symbol FROM lineitem), n AS (SELECT symbol, count(*) AS n FROM c GROUP BY symbol), j AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS "both" FROM c x JOIN c y ON x.commit = y.commit AND x.symbol < y.symbol GROUP BY 1, 2) SELECT a, b, "both", na.n + nb.n - "both" AS either FROM j JOIN n na ON na.symbol = a JOIN n nb ON nb.symbol = b WHERE "both" > 0.03 * (na.n + nb.n - "both")',
     "co_executes": ", h AS (SELECT DISTINCT e.event_type AS test, f.id FROM (SELECT DISTINCT event_type, 'part/Brand#' || (user_id % 25 + 1) || '.ts' AS file, CAST(user_id AS INTEGER) AS line FROM events) e JOIN fn f ON f.file = e.file AND f.start_line <= e.line AND f.end_line >= e.line) SELECT x.id AS a, y.id AS b, count(DISTINCT x.test) AS tests FROM h x JOIN h y ON x.test = y.test AND x.id < y.id GROUP BY x.id, y.id",
     "graph_stats": "SELECT 'node' AS what, kind, CAST(NULL AS VARCHAR) AS provenance_source, count(*) AS n FROM nodes GROUP BY CUBE (kind) UNION ALL SELECT 'edge', kind, provenance_source, count(*) FROM edges GROUP BY CUBE (kind, provenance_source)",
     "rule_routes": """, m AS (
   SELECT a.file, CAST(e.event_id + 1 AS INTEGER) AS line, 'endpoint:' || upper(e.event_type) || ':/u/' || (e.user_id % 10) AS target,
     unnest(CASE WHEN e.event_id % 2 = 0 THEN [{'s': 0, 'n': a.name}, {'s': 1, 'n': b.name}] ELSE [{'s': 0, 'n': a.name}] END) AS h
-  FROM events e JOIN fn a ON a.p_partkey - 1 = e.event_id % 200 JOIN fn b ON b.p_partkey - 1 = (e.event_id * 7 + 3) % 200
+  FROM events e JOIN fn a ON a.p_partkey - 1 = e.event_id % (SELECT count(*) FROM part) JOIN fn b ON b.p_partkey - 1 = (e.event_id * 7 + 3) % (SELECT count(*) FROM part)
 ), nm AS (SELECT file, name, arg_min(id, (start_line, id)) AS id FROM nodes GROUP BY file, name
 ), x AS (SELECT nm.id AS source, m.target, 'express-route@' || m.file || ':' || line || ':1' AS evidence, m.file, line, h.s AS s FROM m JOIN nm ON nm.file = m.file AND nm.name = m.h.n)
 SELECT source, target, arg_max(evidence, (file, line, s)) AS evidence FROM x GROUP BY source, target""",
     "rule_endpoints": """, m AS (
   SELECT a.file, CAST(e.event_id + 1 AS INTEGER) AS line, 'endpoint:' || upper(e.event_type) || ':/u/' || (e.user_id % 10) AS target
-  FROM events e JOIN fn a ON a.p_partkey - 1 = e.event_id % 200 JOIN fn b ON b.p_partkey - 1 = (e.event_id * 7 + 3) % 200
+  FROM events e JOIN fn a ON a.p_partkey - 1 = e.event_id % (SELECT count(*) FROM part) JOIN fn b ON b.p_partkey - 1 = (e.event_id * 7 + 3) % (SELECT count(*) FROM part)
 ) SELECT target AS id, arg_max(file, (file, line)) AS file, arg_max(line, (file, line)) AS start_line FROM m GROUP BY target""",
     "rule_renders": """, m AS (SELECT a.file, a.start_line AS line, b.name AS item FROM fn a JOIN fn b ON a.p_partkey = b.p_partkey + 25
 ), f AS (SELECT m.file, m.line, m.item, arg_min(x.id, (x.end_line - x.start_line, x.start_line, x.id)) AS source FROM m JOIN fn x ON x.file = m.file AND x.start_line <= m.line AND x.end_line >= m.line GROUP BY 1, 2, 3
@@ -183,3 +187,15 @@ SELECT source, nm.id AS target, arg_max('react-render@' || f.file || ':' || line
 BODY["implementers"] = BODY["implementers"].replace("WHERE NOT EXISTS (SELECT 1 FROM impl i WHERE i.source = source AND i.target = symbol_id AND false) ", "")
 
 ORACLES = {k: GRAPH + v for k, v in BODY.items()}
+
+#: What the small texts hold, read off by hand.
+ORACLES |= {
+    "extract_demo": """SELECT * FROM (VALUES ('src/a.ts::src/a.ts:1', 'module', NULL), ('src/a.ts::a:2', 'function', NULL), ('src/a.ts::src/a.ts:1', 'imports', '__unresolved__::b:0'),
+  ('src/a.ts::a:2', 'calls', '__unresolved__::c:0'), ('src/b.tsx::src/b.tsx:1', 'module', NULL), ('src/b.tsx::B:1', 'function', NULL), ('src/b.tsx::A:2', 'function', NULL),
+  ('src/b.tsx::K:3', 'class', NULL), ('src/b.tsx::I:4', 'interface', NULL), ('src/c.ts::src/c.ts:1', 'module', NULL), ('src/c.ts::run:1', 'function', NULL),
+  ('src/c.ts::run:1', 'calls', '__unresolved__::load:0'), ('src/c.ts::pick:4', 'function', NULL), ('src/c.ts::pick:4', 'calls', '__unresolved__::Sink:0'),
+  ('src/broken.ts::src/broken.ts:1', 'module', NULL)) t(id, kind, target)""",
+    "rule_scan": """SELECT file, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, names
+FROM (VALUES ('src/a.ts', 5, 1, 'APP,HANDLERS,METHOD,PATH'), ('src/c.ts', 5, 1, 'APP,HANDLERS,METHOD,PATH'), ('src/b.tsx', 1, 24, 'ATTRS,COMPONENT')) t(file, line, col, names)""",
+    "src_scan": "SELECT file, sha256(content) AS hash, CAST(NULL AS VARCHAR) AS error FROM (VALUES " + ", ".join("('{}', '{}')".format(f, c.replace("'", "''")) for f, c in SNIPPETS) + ") t(file, content)",
+}

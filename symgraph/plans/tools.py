@@ -3,15 +3,60 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.functions import number_text
-from symgraph.operators import files, graph
+from symgraph.functions import line_at, number_text, symbol_column
+from symgraph.operators import dml, files, graph, resolve
+from symgraph.plans.index import ensure_indexed
 from symgraph.plans.store import GraphStore
-from symgraph.schema import AGENT_CONFIDENCE, EDGE_KINDS, IMPACT_DEPTH, SECTION_LIMIT
+from symgraph.schema import AGENT_CONFIDENCE, EDGE_COLS, EDGE_KINDS, IMPACT_DEPTH, NODE_COLS, SECTION_LIMIT
+from symgraph.sources import tree
+
+#: From requests ``(kind, file, line, col)`` to answers (see ``schema.LOOKUPS``).
+Lookups = Callable[[DataFrame], DataFrame]
+_stores: dict[str, GraphStore] = {}
+
+
+def store_of(spark: SparkSession, root: str) -> GraphStore:
+    """The store of a project, in a folder of its own there; one per root."""
+    at = str(Path(root).resolve())
+    if at not in _stores or _stores[at].spark is not spark:
+        _stores[at] = GraphStore(spark, str(Path(at) / tree.STORE_DIR))
+    return _stores[at]
+
+
+def _now(now: int | None) -> int:
+    return int(time.time() * 1000) if now is None else now
+
+
+def look_up(store: GraphStore, root: str, node, lookups: Lookups, now: int) -> None:
+    """Looks up the callers of a node, and the implementers of an interface, unless a
+    marker says that this was done; stores what was found, and the markers."""
+    spark = store.spark
+    one = spark.createDataFrame([(node.id, node.file)], "id string, file string")
+    kinds = [("references", "callers"), *([("implementations", "implementations")] if node.kind == "interface" else [])]
+    todo = [(ask, mark) for ask, mark in kinds if not resolve.unmarked(store.nodes, store.edges, one.select("id"), mark).isEmpty()]
+    if not todo:
+        return
+    line = line_at(F.col("content"), F.lit(node.start_line))
+    at = tree.read_files(one, root).select(F.coalesce(symbol_column(line, F.lit(node.name)), F.lit(1)).alias("col")).first().col
+    work = spark.createDataFrame([(ask, node.file, node.start_line, at) for ask, _ in todo], "kind string, file string, line int, col int")
+    told = graph.cut(lookups(work).join(work, ["kind", "file", "line", "col"], "left_semi"))
+    for ask, mark in todo:
+        own = told.where(F.col("kind") == ask)
+        if mark == "callers":
+            answers = own.select(F.lit(node.id).alias("symbol_id"), "status", F.col("def_file").alias("ref_file"), F.col("def_line").alias("ref_line"), F.col("def_col").alias("ref_col"))
+            n, e = resolve.caller_flow(store.nodes, store.edges, one, answers, now)
+        else:
+            answers = own.select(F.lit(node.id).alias("symbol_id"), "status", "def_file", "def_line", "def_col")
+            held = store.nodes.where("kind = 'class'").select("file").distinct()
+            n, e = resolve.implementer_flow(store.nodes, store.edges, one, answers, tree.read_files(held, root), now)
+        if not e.isEmpty():
+            store.publish(dml.upsert_nodes(store.nodes, n).select(*NODE_COLS), dml.upsert_edges(store.edges, e).select(*EDGE_COLS))
 
 
 def _mark(row) -> str:
@@ -19,16 +64,8 @@ def _mark(row) -> str:
 
 
 def _current(store: GraphStore, root: str, wanted: DataFrame) -> DataFrame:
-    """The present text of the files of the few rows that are shown."""
-    from pathlib import Path
-
-    rows = []
-    for r in wanted.select("file").distinct().collect():
-        try:
-            rows.append((r.file, (Path(root) / r.file).read_bytes().decode("utf-8", "replace")))
-        except OSError:
-            continue
-    return store.spark.createDataFrame(rows, "file string, content string")
+    """The present text of the files of the rows that are shown."""
+    return tree.read_files(wanted.select("file").distinct(), root).where("error is null").select("file", "content")
 
 
 def neighborhood(store: GraphStore, node_id: str, limit: int = SECTION_LIMIT) -> DataFrame:
@@ -42,8 +79,13 @@ def neighborhood(store: GraphStore, node_id: str, limit: int = SECTION_LIMIT) ->
     return out.select(*found.columns, agent.alias("agent_stale"))
 
 
-def symbol_graph(store: GraphStore, root: str, name: str, file: str | None = None, limit: int = SECTION_LIMIT) -> str:
-    """The neighbourhood of a symbol as text; a list where several match."""
+def symbol_graph(store: GraphStore, root: str, name: str, file: str | None = None, limit: int = SECTION_LIMIT, lookups: Lookups | None = None, now: int | None = None) -> str:
+    """The neighbourhood of a symbol as text; a list where several match. A project
+    without an index is indexed first; a single match is looked up by ``lookups``, if
+    given (see ``look_up``)."""
+    ensure_indexed(store, root, _now(now))
+    if lookups is not None and len(few := store.find_nodes(name, file).limit(2).collect()) == 1:
+        look_up(store, root, few[0], lookups, _now(now))
     hits = store.find_nodes(name, file)
     shown = files.anchors(hits, _current(store, root, hits)).orderBy("file", "start_line", "id").collect()
     if not shown:
@@ -75,7 +117,9 @@ def symbol_graph(store: GraphStore, root: str, name: str, file: str | None = Non
 
 
 def resolve_edge(store: GraphStore, root: str, source: str, target: str, kind: str, evidence: str, source_file: str | None = None, target_file: str | None = None, now: int | None = None) -> str:
-    """Writes an agent's edge; texts say what was wrong, first things first."""
+    """Writes an agent's edge; texts say what was wrong, first things first. A project
+    without an index is indexed first."""
+    ensure_indexed(store, root, _now(now))
     ends = []
     for label, name, file in (("source", source, source_file), ("target", target, target_file)):
         rows = store.find_nodes(name, file).collect()
@@ -89,14 +133,16 @@ def resolve_edge(store: GraphStore, root: str, source: str, target: str, kind: s
     s, t = ends
     digest = store.file_hash(s.file) or s.content_hash
     existed = not store.neighbors(s.id, "out", kind).where((F.col("target") == t.id) & (F.col("provenance_source") == "agent")).isEmpty()
-    store.add_edges([(s.id, t.id, kind, "agent", AGENT_CONFIDENCE, evidence, digest, now if now is not None else int(time.time() * 1000))])
+    store.add_edges([(s.id, t.id, kind, "agent", AGENT_CONFIDENCE, evidence, digest, _now(now))])
     both = store.nodes.where(F.col("id").isin(s.id, t.id))
     at = {r.id: r.anchor for r in files.anchors(both, _current(store, root, both)).collect()}
     return "\n".join([f"Edge {'updated' if existed else 'created'}:", f"  source: {at[s.id]}  {s.name}", f"  target: {at[t.id]}  {t.name}", f"  kind: {kind}", f"  provenance: agent  confidence:{number_text(AGENT_CONFIDENCE)}"])
 
 
-def impact(store: GraphStore, root: str, symbols: Sequence[str], change: str, max_depth: float = IMPACT_DEPTH) -> str:
-    """What a change touches, by depth, file and name; empty if nothing."""
+def impact(store: GraphStore, root: str, symbols: Sequence[str], change: str, max_depth: float = IMPACT_DEPTH, now: int | None = None) -> str:
+    """What a change touches, by depth, file and name; empty if nothing. A project
+    without an index is indexed first."""
+    ensure_indexed(store, root, _now(now))
     hit = graph.impact(store.nodes, store.edges, symbols, change, max_depth)
     full = graph.cut(hit.join(store.nodes.select(F.col("id").alias("node_id"), "start_line", "content_hash"), "node_id"))
     rows = files.anchors(full, _current(store, root, full)).orderBy(*graph.impact_order()).collect()

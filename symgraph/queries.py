@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph import functions as C
-from symgraph.fixture import KEY, Graph
+from symgraph.fixture import KEY, SNIPPETS, Graph
 from symgraph.operators import dml, files, graph, resolve, rules
 from symgraph.schema import CHANGES, EDGE_COLS, NODE_COLS
 from symgraph.sources import extract
@@ -117,11 +121,9 @@ def node_id(g: Graph) -> DataFrame:
 
 
 def _near(g: Graph, **kw) -> DataFrame:
-    """Neighbours of all nodes with a self-loop. The edges are derived once and cut:
-    centers, outgoing and incoming joins read them."""
-    e = graph.cut(g.edges)
-    centers = e.where("source = target").select(F.col("source").alias("id")).distinct()
-    return graph.neighbors(g.nodes, e, centers, **kw)
+    """Neighbours of all nodes. The edges are derived once and cut: outgoing and
+    incoming joins read them."""
+    return graph.neighbors(g.nodes, graph.cut(g.edges), g.nodes.select("id"), **kw)
 
 
 @_q
@@ -277,7 +279,7 @@ def confirm_calls(g: Graph) -> DataFrame:
     n = g.functions.select(F.col("id").alias("target"), F.col("file").alias("def_file"), F.col("start_line").alias("def_line"))
     s = g.functions.select(F.col("id").alias("source"), "file")
     ev = C.parse_evidence(F.col("evidence"))
-    a = e.join(n, "target").join(s, "source").select("file", ev["line"].alias("line"), ev["col"].alias("col"), "def_file", "def_line", "source", "target").where("line % 2 = 0")
+    a = e.join(n, "target").join(s, "source").select("file", ev["line"].alias("line"), ev["col"].alias("col"), "def_file", "def_line", "source", "target")
     answers = a.select(F.lit("definition").alias("kind"), "file", "line", "col", F.lit("ok").alias("status"), "def_file", "def_line", F.lit(1).alias("def_col")).distinct()
     out = resolve.resolve_calls(g.nodes, e, g.file_hashes, answers).where("confirm")
     return out.select("source", "target", F.split("evidence", ":")[1].cast("int").alias("def_line"))
@@ -290,10 +292,23 @@ def missing_callers(g: Graph) -> DataFrame:
 
 @_q
 def enclosing_fn(g: Graph) -> DataFrame:
-    places = g.functions.where("start_line % 3 = 0").select("file", F.col("start_line").alias("line")).distinct()
+    places = g.functions.select("file", F.col("start_line").alias("line")).distinct()
     return resolve.enclosing_functions(g.nodes, places)
 
 
+@_q
+def caller_flow(g: Graph) -> DataFrame:
+    """Edges after the callers of the smallest function of each name were looked up; a
+    third of the symbols was looked up before, of every fifth the lookup failed."""
+    key = F.element_at(F.split("symbol_id", ":"), -1).cast("int")
+    status = F.when(key % 5 == 0, "error").otherwise("ok")
+    answers = g.references.withColumn("status", status)
+    symbols = answers.select(F.col("symbol_id").alias("id")).distinct()
+    n, e = resolve.markers(answers.where(key % 3 == 0).select(F.col("symbol_id").alias("id")).distinct(), "callers")
+    _, new = resolve.caller_flow(g.nodes.unionByName(n), g.edges.unionByName(e), symbols, answers)
+    return new.select("source", "target", "kind", "evidence")
+
+
 @_q
 def implementers(g: Graph) -> DataFrame:
     i = g.interfaces.select(F.col("id").alias("symbol_id"), ((F.col("n_nationkey") + 24) % 25).alias("s_nationkey"))
@@ -329,13 +344,6 @@ def rule_renders(g: Graph) -> DataFrame:
     return rules.renders(RENDER, g.render_matches, g.nodes).select("source", "target", "evidence")
 
 
-SNIPPETS = [
-    ("src/a.ts", "import { b as c } from './b'\nexport function a(x: number) {\n  return c(x)\n}\napp.get('/a', a, b)\n"),
-    ("src/b.tsx", "export const B = () => <A id={1} />\nfunction A() { return null }\nclass K implements I {}\ninterface I {}\n"),
-    ("src/broken.ts", "function x( {"),
-]
-
-
 def _snippets(g: Graph) -> DataFrame:
     return g.spark.createDataFrame(SNIPPETS, "file string, content string")
 
@@ -349,15 +357,21 @@ def extract_demo(g: Graph) -> DataFrame:
 @_q
 def rule_scan(g: Graph) -> DataFrame:
     s = _snippets(g)
-    return rule_files.scan(s, ROUTE).unionByName(rule_files.scan(s, RENDER)).select("file", "line", "col", F.map_keys("captures").alias("names"))
+    return rule_files.scan(s, ROUTE).unionByName(rule_files.scan(s, RENDER)).select("file", "line", "col", F.array_join(F.array_sort(F.map_keys("captures")), ",").alias("names"))
 
 
 @_q
 def src_scan(g: Graph) -> DataFrame:
-    """Walks this package's folder, which holds no TypeScript: no rows."""
-    from pathlib import Path
-
-    return tree.read_tree(g.spark, str(Path(__file__).parent)).select("file", F.sha2("content", 256).alias("hash"), "error")
+    """Reads a tree that it writes to the folder all executors share: the snippets, and
+    files and folders that the walk leaves out."""
+    base = Path(graph.shared_path(g.spark)) / f"tree-{uuid.uuid4().hex}"
+    for path, text in [*SNIPPETS, ("node_modules/m.ts", "x"), (".git/g.ts", "x"), (f"{tree.STORE_DIR}/s.ts", "x"), ("src/readme.md", "x")]:
+        (base / path).parent.mkdir(parents=True, exist_ok=True)
+        (base / path).write_text(text)
+    os.symlink(base / "src" / "a.ts", base / "src" / "link.ts")
+    read = graph.cut(tree.read_tree(g.spark, str(base)).select("file", F.sha2("content", 256).alias("hash"), "error"))
+    shutil.rmtree(base)
+    return read
 
 
 @_q
@@ -376,6 +390,12 @@ def co_change(g: Graph) -> DataFrame:
     return graph.co_change(g.t("orders").select(F.col("o_custkey").alias("commit"), F.col("o_orderpriority").alias("symbol")))
 
 
+@_q
+def co_change_parts(g: Graph) -> DataFrame:
+    """Orders as commits, parts as symbols; the share is low, as parts meet seldom."""
+    return graph.co_change(g.t("lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("symbol")), 0.03)
+
+
 @_q
 def co_executes(g: Graph) -> DataFrame:
     """Pairs of functions whose spans hold lines that a test covered, with the number

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from symgraph.schema import FILES
 
+#: The folder of a project's own store (see ``plans.tools.store_of``).
+STORE_DIR = ".symgraph"
 #: Entries of these names are left out; a tool's own folders can be added per call.
-SKIPPED = frozenset({"node_modules", ".git"})
+SKIPPED = frozenset({"node_modules", ".git", STORE_DIR})
 
 
 def walk(root: str, skip: frozenset[str] = SKIPPED) -> list[str]:
@@ -27,12 +29,10 @@ def walk(root: str, skip: frozenset[str] = SKIPPED) -> list[str]:
     return out
 
 
-def read_tree(spark: SparkSession, root: str, skip: frozenset[str] = SKIPPED) -> DataFrame:
-    """``files(file, content, error)`` of a tree that all executors see. The paths
-    are listed here, the files read by the workers; one that can't be read has an
-    error and no content, and no other fails with it."""
-    paths = walk(root, skip)
-    df = spark.createDataFrame(pd.DataFrame({"file": pd.Series(paths, dtype=object)}), "file string")
+def read_files(paths: DataFrame, root: str) -> DataFrame:
+    """``files(file, content, error)`` of ``paths(file)`` under a folder that all executors
+    see, read by the workers; a file that can't be read has an error and no content,
+    and no other fails with it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -45,4 +45,11 @@ def read_tree(spark: SparkSession, root: str, skip: frozenset[str] = SKIPPED) ->
                     rows.append((p, None, str(e)))
             yield pd.DataFrame(rows, columns=["file", "content", "error"])
 
-    return df.repartition(max(1, min(len(paths) // 64 + 1, 10_000))).mapInPandas(run, FILES)
+    return paths.select("file").mapInPandas(run, FILES)
+
+
+def read_tree(spark: SparkSession, root: str, skip: frozenset[str] = SKIPPED) -> DataFrame:
+    """The files of a tree (see ``read_files``), whose paths are listed here."""
+    paths = walk(root, skip)
+    df = spark.createDataFrame(pd.DataFrame({"file": pd.Series(paths, dtype=object)}), "file string")
+    return read_files(df.repartition(max(1, min(len(paths) // 64 + 1, 10_000))), root)

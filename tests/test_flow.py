@@ -79,6 +79,57 @@ def test_agent_edges(spark, tree, tmp_path):
     assert "a  calls  confidence:0.7  agent [stale]" in tools.symbol_graph(store, str(tree), "b")
 
 
+def asked(spark, rows):
+    """Lookups that answer from rows, and the requests they got."""
+    got = []
+
+    def run(work):
+        got.extend(sorted((r.kind, r.file, r.line, r.col) for r in work.collect()))
+        return spark.createDataFrame(rows, LOOKUPS)
+
+    return run, got
+
+
+def test_tools_index_and_look_up_callers_once(spark, tree):
+    store = tools.store_of(spark, str(tree))
+    assert tools.store_of(spark, str(tree)) is store and store.version == 0
+    lookups, got = asked(spark, [("references", "src/b.ts", 1, 17, "ok", "src/a.ts", 3, 3), ("references", "src/b.ts", 1, 17, "ok", "src/b.ts", 1, 17)])
+    shown = tools.symbol_graph(store, str(tree), "b", lookups=lookups, now=1)
+    assert "### Callers\n  src/a.ts:2:" in shown and "confidence:0.9  lsp" in shown and got == [("references", "src/b.ts", 1, 17)]
+    assert [(r.source, r.evidence) for r in store.edges.where("target = 'src/b.ts::b:1' and kind = 'calls'").collect()] == [("src/a.ts::a:2", "src/a.ts:3:3")]
+    marker = store.edges.where("evidence = 'resolved:callers'").first()
+    assert (marker.target, marker.confidence) == ("src/b.ts::b:1", 1.0)
+    assert tools.symbol_graph(store, str(tree), "b", lookups=lookups, now=2) == shown and len(got) == 1
+    (tree / "src" / "b.ts").write_text("\n" + B)
+    index_project(store, str(tree), 3)
+    lookups, got = asked(spark, [])
+    tools.symbol_graph(store, str(tree), "b", lookups=lookups, now=4)
+    assert got == [("references", "src/b.ts", 2, 17)]
+
+
+@pytest.mark.parametrize("status, marked", [("error", False), ("startup_error", True), ("none", True)])
+def test_markers_by_status(spark, tree, tmp_path, status, marked):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    lookups, _ = asked(spark, [("references", "src/b.ts", 1, 17, status, None, None, None)])
+    tools.symbol_graph(store, str(tree), "b", lookups=lookups, now=1)
+    assert (store.edges.where("evidence = 'resolved:callers'").count() == 1) == marked
+    assert store.edges.where("provenance_source = 'lsp' and kind = 'calls'").count() == 0
+
+
+@pytest.mark.parametrize("good", [True, False])
+def test_implementers_of_an_interface(spark, tmp_path, good):
+    root = tmp_path / "p"
+    root.mkdir()
+    (root / "i.ts").write_text("export interface Shape {}\n")
+    (root / "c.ts").write_text("class A implements Shape {\n}\nclass B extends A {\n}\n")
+    store = GraphStore(spark, str(tmp_path / "g"))
+    lookups, got = asked(spark, [("implementations", "i.ts", 1, 18, "ok", "c.ts", 3, 7)] if good else [("implementations", "i.ts", 1, 18, "error", None, None, None)])
+    shown = tools.symbol_graph(store, str(root), "Shape", lookups=lookups, now=1)
+    assert [x[0] for x in got] == ["implementations", "references"]
+    assert f"### Implementations\n  c.ts:{3 if good else 1}:" in shown and shown.count("implements  confidence:0.9  lsp") == 1
+    assert store.edges.where("evidence = 'resolved:implementations'").count() == 1
+
+
 def test_rule_error_stores_nothing(spark, tree, tmp_path):
     store = GraphStore(spark, str(tmp_path / "g"))
     with pytest.raises(ValueError):
