@@ -17,7 +17,7 @@ from symgraph.llm.common import arrow, cut, fresh, shared_filter
 #: LINE_WORDS + PLACES - 1 words in a row share a line.
 LINE_WORDS, PLACES = 25, 8
 #: Bytes of text that are hashed at once.
-HASHED_BYTES = 1 << 19
+HASHED_BYTES = 1 << 18
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Lead bytes of the characters of scripts without spaces: a word each.
 _ALONE = (np.arange(256) >= 0xE3) & (np.arange(256) <= 0xE9)
@@ -385,8 +385,7 @@ def dedup_flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier documents, and a struct column ``(lines, words, blocks, moved, partners)``
     of what went, whose name, the second result, no column of ``docs`` has.
 
-    Only changed texts go to Python. Texts of documents that lose nothing, but for
-    a few that a filter of 16 MB mistakes, are not shuffled.
+    Only changed texts go to Python; the texts are shuffled once, by id.
 
     Null ids, null texts, empty and blank texts and texts of fewer than LINE_WORDS
     words stay as they are. Rows with one id are one place in the order: neither
@@ -395,20 +394,15 @@ def dedup_flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     takes about 60 bytes a word of a worker. An empty table gives none. Other
     columns are untouched, whatever their names."""
     found = cut(ends(docs, cut(blocks(docs, id_col, text_col)), id_col, text_col))
-    lossy = shared_filter(found.select(F.xxhash64("doc_id").alias("h")))
     lost, key, sets, new = (fresh(docs, x) for x in ("lost", "key", "sets", "new"))
-    may = F.pandas_udf(lambda h: pd.Series(lossy.holds(h.to_numpy(np.int64).view(np.uint64))), "boolean")
-    inside = F.coalesce(may(F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.lit(0))), F.lit(False)) & F.col(id_col).isNotNull()
-    kind = "struct<" + ",".join(f"{k}:{v}" for k, v in _LOST.items()) + ">"
-    same = docs.where(~inside).withColumn(lost, F.lit(None).cast(kind))
-    both = docs.where(inside).join(found.select(F.col("doc_id").alias(key), F.col("found").alias(sets)), F.col(id_col).cast("long") == F.col(key), "left")
+    both = docs.join(found.select(F.col("doc_id").alias(key), F.col("found").alias(sets)), F.col(id_col).cast("long") == F.col(key), "left")
     changed = F.col(sets).isNotNull() & F.col(text_col).isNotNull()
     text = F.col(text_col).cast("string")
     rebuild = F.pandas_udf(_rebuilt, "text string, " + ", ".join(f"{k} {v}" for k, v in _LOST.items()))
     both = both.withColumn(new, F.when(changed, rebuild(F.when(changed, text), mark(text), F.col(sets))))
     cols = [F.when(changed, F.col(new)["text"]).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     one = F.when(changed, F.struct(*[F.col(new)[k].cast(v).alias(k) for k, v in _LOST.items()]))
-    return same.unionByName(both.select(*cols, one.alias(lost))), lost
+    return both.select(*cols, one.alias(lost)), lost
 
 
 def dedup(docs: DataFrame) -> DataFrame:
