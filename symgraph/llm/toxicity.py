@@ -74,16 +74,20 @@ class Model:
         return next((self.weight[u] for u in units(token) if u in self.weight), None)
 
     def runs(self, tokens: list[str]) -> list[tuple[int, int, float]]:
-        """Tokens with a score of their own, the gaps between them as one run each."""
-        memo, out, at = self.memo, [], -1
+        """Tokens with a score of their own, the gaps between them as one run each. From
+        the third on, the k-th occurrence of a token scores 2 / k of it: log-odds are
+        of texts that hold it, not of repeats, and a faint word repeated thousands of
+        times would outweigh all else and flatten the curve."""
+        memo, out, at, seen = self.memo, [], -1, {}
         if len(memo) > MEMO:
             memo.clear()
         for t in set(tokens).difference(memo):
             memo[t] = self.of(t)
         for i, s in [(i, s) for i, s in enumerate(map(memo.__getitem__, tokens)) if s is not None]:
+            seen[tokens[i]] = nth = seen.get(tokens[i], 0) + 1
             if out and i > at + 1:
                 out.append((at + 1, i - 1, DRIFT * (i - at - 1)))
-            out.append((i, i, s))
+            out.append((i, i, s * min(1.0, 2 / nth)))
             at = i
         return out
 

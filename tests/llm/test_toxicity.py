@@ -127,3 +127,9 @@ def test_odd_tables(spark):
     got = toxicity.op3_toxicity(d, lab).collect()
     assert len(got) == 5 and all(r.score == 0 and r.predicted == 0 for r in got)
     assert toxicity.op3_toxicity(d.limit(0), lab.limit(0)).count() == 0
+
+
+def test_a_faint_word_repeated_is_little_evidence():
+    model = toxicity.Model({"faint": 0.1, "vile": 2.6, "scum": 2.6, "idiot": 2.6}, lam=1.9, k=0.002, a=-12.7, b=1.0)
+    assert abs(model.best(["vile", "faint", "vile"]) - 5.3) < 1e-9
+    assert model.score("faint " * 3784) < 0.01 < 0.7 < model.score("word " * 100 + "vile scum idiot " + "word " * 100)
