@@ -1,12 +1,16 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from symgraph.llm import linededup
+from symgraph.llm.common import shared_filter
 
 LINE, PLACES = linededup.LINE_WORDS, linededup.PLACES
 words = lambda rng, n: " ".join(f"{rng.choice('abcé')}{rng.randrange(10**6)}" for _ in range(n))
@@ -209,3 +213,20 @@ def test_lines_cover_texts(n):
     assert len(set(h.tolist())) == len(h)
     if n >= LINE:
         assert own[0] == 0 and own[-1] == n - LINE and (np.diff(own) <= PLACES).all()
+
+
+def test_a_filter_leaves_no_shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    f = shared_filter(spark.range(20000).groupBy((F.col("id") % 5000).alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    assert f.holds(np.arange(5000, dtype=np.uint64)).all() and not f.holds(np.arange(5000, 9000, dtype=np.uint64)).any()
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
