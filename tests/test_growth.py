@@ -22,3 +22,37 @@ def test_calls_are_deduplicated_before_ids_are_joined(spark, name):
     assert "BroadcastHashJoin" not in text
     keys = re.findall(r"SortAggregate\(key=\[([^\]]*)\]", text)
     assert keys and all("l_partkey" in k and "source" not in k.replace("provenance_source", "") for k in keys)
+
+
+@tables
+@pytest.mark.parametrize("name", ["neighbors_out", "neighbors_both", "neighborhood_topk", "neighborhood_omitted"])
+def test_edges_are_made_once_and_not_written(spark, name):
+    text = plan(QUERIES[name](spark, str(DATA)))
+    assert "ExistingRDD" not in text  # no checkpoint
+    assert text.count("lineitem.parquet") == 2  # calls and unresolved calls
+
+
+def test_neighbors_of_all_are_those_of_each(spark):
+    from symgraph.operators import graph
+    from symgraph.schema import EDGES, NODES
+
+    n = spark.createDataFrame([(x, "function", x, "f", 1, None, "h") for x in "abcc"], NODES)
+    e = spark.createDataFrame([(s, t, "calls", "lsp", 0.9, "", "h", 0) for s, t in ("aa", "ab", "bc", "ca", "za", "az")], EDGES)
+    got, want = graph.neighbors_of_all(n, e), graph.neighbors(n, e, n.select("id"))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_ranks_with_nulls_ties_and_hubs(spark):
+    from pyspark.sql import functions as F
+
+    from symgraph.operators import graph
+
+    nan = float("nan")
+    rows = [(c, t, d, s) for c in (0.5, 0.9, None, nan) for t in (3, None, 1) for d in ("in", "out") for s in "ba"]
+    found = spark.createDataFrame([("x", "Callers", d, c, t, s, "x", "calls", "lsp") for c, t, d, s in rows], "center string, section string, dir string, confidence double, created_at long, source string, target string, edge_kind string, provenance_source string")
+    order = [F.desc("confidence"), F.desc("created_at"), F.desc("dir"), "source"]
+    want = [str(r) for r in found.orderBy(*order).collect()]
+    got = graph.ranked(found.repartition(3), 30).orderBy("rn").drop("rn", "omitted")
+    assert [str(r) for r in got.select(*found.columns).collect()] == want[:30]
+    assert {r.omitted for r in graph.ranked(found, 30).collect()} == {len(rows) - 30} == {r.omitted for r in graph.omitted(found, 30).collect()}
+    assert len(re.findall("Exchange hashpartitioning", plan(graph.ranked(found.repartition(3))))) == 1
