@@ -52,14 +52,60 @@ def apply_resolved(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     return upsert_edges(rest, one)
 
 
+def _blocks(start: Column, end: Column) -> Column:
+    """The dyadic blocks ``(level, block)`` that make up a span of lines: two of each
+    level at most, and each line in one of them (the nodes of a segment tree)."""
+    low, high = start.cast("long"), end.cast("long") + 1
+    shift = lambda way, x, k: F.call_function(f"shift{way}", x, k)
+
+    def of(k: Column) -> Column:
+        a, b = shift("right", low + shift("left", F.lit(1).cast("long"), k) - 1, k), shift("right", high, k)
+        ends = (F.when((a < b) & (x % 2 != 0), F.struct(k.alias("level"), y.alias("block"))) for x, y in ((a, a), (b, b - 1)))
+        return F.array_compact(F.array(*ends))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), _level(high - low)), of))
+
+
+def _level(lines: Column) -> Column:
+    """The level of the largest block in a span of so many lines."""
+    return F.length(F.bin(lines)) - 1
+
+
+def least_spanning(spans: DataFrame, places: DataFrame, best: Column) -> DataFrame:
+    """``(file, line, best)``: for each line of ``places(file, line)`` the least ``best`` of
+    the ``spans(file, start_line, end_line, ...)`` that hold it, ends included.
+
+    Spans are cut into dyadic blocks, each of which keeps its least, and a line meets
+    the one block of each level that holds it. So rows grow as spans and lines times
+    the logarithm of the longest span, however spans nest and however many share a file."""
+    s = spans.where("start_line <= end_line")
+    cut = s.select("file", best.alias("best"), F.explode(_blocks(F.col("start_line"), F.col("end_line"))).alias("b"))
+    cut = cut.groupBy("file", F.col("b.level").alias("level"), F.col("b.block").alias("block")).agg(F.min("best").alias("best"))
+    top = s.agg(_level(F.max(F.col("end_line").cast("long") - F.col("start_line") + 1)).alias("top")).where("top is not null")
+    up = places.select("file", "line").distinct().crossJoin(F.broadcast(top)).select("file", "line", F.explode(F.sequence(F.lit(0), "top")).alias("level"))
+    up = up.withColumn("block", F.call_function("shiftright", F.col("line").cast("long"), F.col("level")))
+    return up.hint("merge").join(cut, ["file", "level", "block"]).groupBy("file", "line").agg(F.min("best").alias("best"))
+
+
+def _first_spanning(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """``(file, line, source, content_hash)``: the first of ``nodes`` by line and id that
+    holds a line of ``places(file, line)``. An open end reaches on, so that of a file's
+    open nodes the first is the only one to ask."""
+    best = F.struct("start_line", F.col("id").alias("source"), "content_hash")
+    found = least_spanning(nodes.where("end_line is not null"), places, best)
+    ahead = nodes.where("end_line is null and start_line is not null").groupBy("file").agg(F.min(best).alias("best"))
+    found = found.unionByName(places.select("file", "line").distinct().join(ahead, "file").where("best.start_line <= line").select("file", "line", "best"))
+    return found.groupBy("file", "line").agg(F.min("best").alias("best")).select("file", "line", "best.source", "best.content_hash")
+
+
 def missing_callers(nodes: DataFrame, edges: DataFrame, references: DataFrame, now: int = 0) -> DataFrame:
     """New calls edges from ``references(symbol_id, ref_file, ref_line, ref_col)``: the
     caller is the first node by line and id (not a module) that spans the place,
     an open end reaching on; none from a symbol to itself, none where a call of
-    any provenance is known. The join is by file, the span is a residual."""
-    n = nodes.where("kind <> 'module'").select(F.col("id").alias("source"), F.col("file").alias("ref_file"), "start_line", "end_line", "content_hash")
-    met = references.join(n, "ref_file").where("start_line <= ref_line and (end_line is null or end_line >= ref_line)")
-    met = _first(met, ["symbol_id", "ref_file", "ref_line", "ref_col"], ["start_line", "source"]).where("source <> symbol_id")
+    any provenance is known."""
+    r = references.select("symbol_id", "ref_file", "ref_line", "ref_col").distinct()
+    at = _first_spanning(nodes.where("kind <> 'module'"), r.select(F.col("ref_file").alias("file"), F.col("ref_line").alias("line")))
+    met = r.join(at.withColumnsRenamed({"file": "ref_file", "line": "ref_line"}), ["ref_file", "ref_line"]).where("source <> symbol_id")
     known = edges.where("kind = 'calls'").select("source", F.col("target").alias("symbol_id")).distinct()
     met = met.join(known, ["source", "symbol_id"], "left_anti")
     met = _first(met, ["source", "symbol_id"], ["ref_file", "ref_line", "ref_col"])
@@ -70,17 +116,20 @@ def missing_callers(nodes: DataFrame, edges: DataFrame, references: DataFrame, n
 def enclosing_functions(nodes: DataFrame, places: DataFrame) -> DataFrame:
     """``places(file, line, ...)`` with the id of the function of smallest span that
     holds the line (then by line and id), ends included; an open end is the start."""
-    f = nodes.where("kind = 'function'").select("file", F.col("id").alias("function_id"), "start_line", F.coalesce("end_line", "start_line").alias("_end"), span(F.col("start_line"), F.col("end_line")).alias("_span"))
-    met = places.join(f, "file").where("start_line <= line and _end >= line")
-    return _first(met, places.columns, ["_span", "start_line", "function_id"]).select(*places.columns, "function_id")
+    end = F.coalesce("end_line", "start_line")
+    f = nodes.where("kind = 'function'").select("file", F.col("id").alias("function_id"), "start_line", end.alias("end_line"), span(F.col("start_line"), F.col("end_line")).alias("span"))
+    found = least_spanning(f, places, F.struct("span", "start_line", "function_id")).select("file", "line", "best.function_id")
+    if set(places.columns) != {"file", "line"}:
+        found = places.distinct().join(found, ["file", "line"])
+    return found.select(*places.columns, "function_id")
 
 
 def implementers(nodes: DataFrame, edges: DataFrame, answers: DataFrame, now: int = 0) -> DataFrame:
     """New implements edges from ``answers(symbol_id, def_file, def_line, def_col)``:
     the class that spans the place, first by line and id, unless one is known."""
-    c = nodes.where("kind = 'class'").select(F.col("id").alias("source"), F.col("file").alias("def_file"), "start_line", "end_line", "content_hash")
-    met = answers.join(c, "def_file").where("start_line <= def_line and (end_line is null or end_line >= def_line)")
-    met = _first(met, ["symbol_id", "def_file", "def_line", "def_col"], ["start_line", "source"])
+    a = answers.select("symbol_id", "def_file", "def_line", "def_col").distinct()
+    at = _first_spanning(nodes.where("kind = 'class'"), a.select(F.col("def_file").alias("file"), F.col("def_line").alias("line")))
+    met = a.join(at.withColumnsRenamed({"file": "def_file", "line": "def_line"}), ["def_file", "def_line"])
     evidence = F.concat_ws(":", "def_file", F.col("def_line").cast("string"), F.col("def_col").cast("string"))
     return _implements(met.withColumn("evidence", evidence), edges, now)
 

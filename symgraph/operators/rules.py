@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.functions import meta_value, render_template, strip_quotes
-from symgraph.operators.dml import last_wins
+from symgraph.operators.dml import first_wins, last_wins
 from symgraph.operators.resolve import enclosing_functions
 from symgraph.schema import EDGE_COLS, NODE_COLS
 
 
 def _named(nodes: DataFrame) -> DataFrame:
     """The first node by line and id of each (file, name)."""
-    w = Window.partitionBy("file", "name").orderBy("start_line", "id")
-    n = nodes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    n = first_wins(nodes.select("file", "name", "start_line", "id", "content_hash"), ["start_line", "id"], ["file", "name"])
     return n.select("file", F.col("name").alias("item"), F.col("id").alias("node_id"), F.col("content_hash").alias("node_hash"))
 
 

@@ -56,3 +56,39 @@ def test_ranks_with_nulls_ties_and_hubs(spark):
     assert [str(r) for r in got.select(*found.columns).collect()] == want[:30]
     assert {r.omitted for r in graph.ranked(found, 30).collect()} == {len(rows) - 30} == {r.omitted for r in graph.omitted(found, 30).collect()}
     assert len(re.findall("Exchange hashpartitioning", plan(graph.ranked(found.repartition(3))))) == 1
+
+
+def test_least_spanning_against_all_pairs(spark):
+    """Nested, equal, single-line and very long spans, at any place of the line numbers."""
+    from pyspark.sql import functions as F
+
+    from symgraph.operators import resolve
+
+    spans = [("f" if i % 3 else "g", a, a + n, f"s{i}") for i, (a, n) in enumerate([(x * 7 % 61, x * x % 45) for x in range(80)] + [(0, 2**31 - 1), (5, -3), (2**31 - 2, 1), (64, 0), (-4, 9)])]
+    lines = [*range(-6, 70), 2**31 - 1, 2**31 - 2, 4000]
+    s = spark.createDataFrame(spans, "file string, start_line int, end_line int, id string")
+    p = spark.createDataFrame([(f, x) for f in ("f", "g", "h") for x in lines] + [("f", None), (None, 3), ("f", 3)], "file string, line int")
+    got = resolve.least_spanning(s, p, F.struct(F.expr("cast(end_line as long) - start_line").alias("n"), "start_line", "id"))
+    want = {(f, x): min(m) for f in ("f", "g") for x in lines if (m := [(b - a, a, i) for g, a, b, i in spans if g == f and a <= x <= b])}
+    rows = got.collect()
+    assert {(r.file, r.line): tuple(r.best) for r in rows} == want and len(rows) == len(want)
+
+
+def test_lookups_of_spans_do_not_pair_a_file_with_itself(spark):
+    """The rows between join and result grow as the file, not as its square."""
+    from pyspark.sql import functions as F
+
+    from symgraph.operators import resolve
+    from symgraph.schema import NODES
+
+    n = spark.range(4000).select(F.format_string("c%05d", "id").alias("id"), F.lit("class").alias("kind"), F.lit("c").alias("name"), F.lit("f").alias("file"), F.col("id").cast("int").alias("start_line"), F.when(F.col("id") >= 2000, F.col("id").cast("int") + 9).alias("end_line"), F.lit("h").alias("content_hash"))
+    a = spark.range(4000).select(F.lit("i").alias("symbol_id"), F.lit("f").alias("def_file"), F.col("id").cast("int").alias("def_line"), F.lit(1).alias("def_col"))
+    e = spark.createDataFrame([], "source string, target string, kind string")
+    out = resolve.implementers(n, e, a)
+    assert [r.source for r in out.collect()] == ["c00000"]
+    closed = n.where("end_line is not null")
+    assert {r.source for r in resolve.implementers(closed, e, a).collect()} == {f"c{i:05d}" for i in range(2000, 3991)}
+    text = plan(out)
+    assert "def_file" not in "".join(x for x in text.splitlines() if "Join" in x and "def_line" not in x)
+    f = n.withColumns({"kind": F.lit("function"), "end_line": F.lit(5000)})
+    assert resolve.enclosing_functions(f, a.select(F.col("def_file").alias("file"), F.col("def_line").alias("line"))).where("substring(function_id, 2) <> lpad(line, 5, '0')").count() == 0
