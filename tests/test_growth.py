@@ -72,6 +72,8 @@ def test_least_spanning_against_all_pairs(spark):
     want = {(f, x): min(m) for f in ("f", "g") for x in lines if (m := [(b - a, a, i) for g, a, b, i in spans if g == f and a <= x <= b])}
     rows = got.collect()
     assert {(r.file, r.line): tuple(r.best) for r in rows} == want and len(rows) == len(want)
+    all_of = sorted((r.file, r.line, r.id) for r in resolve.spanning(s, p.distinct(), "id").collect())
+    assert all_of == sorted((f, x, i) for f in ("f", "g") for x in lines for g, a, b, i in spans if g == f and a <= x <= b)
 
 
 def test_lookups_of_spans_do_not_pair_a_file_with_itself(spark):
@@ -92,3 +94,45 @@ def test_lookups_of_spans_do_not_pair_a_file_with_itself(spark):
     assert "def_file" not in "".join(x for x in text.splitlines() if "Join" in x and "def_line" not in x)
     f = n.withColumns({"kind": F.lit("function"), "end_line": F.lit(5000)})
     assert resolve.enclosing_functions(f, a.select(F.col("def_file").alias("file"), F.col("def_line").alias("line"))).where("substring(function_id, 2) <> lpad(line, 5, '0')").count() == 0
+
+
+def test_pairs_of_a_test_are_not_shuffled(spark):
+    from symgraph.operators import graph
+
+    hits = [(f"t{t}", f"i{i:03d}") for t in range(4) for i in range(60) if (i >> t) & 1 or i % 7 == t] + [("t1", "i001")]
+    df = spark.createDataFrame(hits, "test string, id string")
+    by = {}
+    for t, i in hits:
+        by.setdefault(i, set()).add(t)
+    want = sorted((a, b, len(by[a] & by[b])) for a in by for b in by if a < b and by[a] & by[b])
+    for block in (3, 1000):
+        out = graph.met_together(df, block)
+        assert sorted(map(tuple, out.collect())) == want
+        assert plan(out).partition("Exchange")[0].count("Generate explode") == 2  # blocks become pairs after the last shuffle
+
+
+def test_few_files_are_not_the_keys_of_edges(spark):
+    from symgraph.operators import files, resolve
+    from symgraph.schema import EDGES, NODES
+
+    n = spark.createDataFrame([(x, "function", x, f, 1, 2, f"h{x}") for x, f in ("af", "bg", "ch")], NODES)
+    e = spark.createDataFrame([(s, t, "calls", p, 0.5, f"{t}:1:2", "h", 0) for s, t, p in (("a", "b", "tree-sitter"), ("b", "__unresolved__::q:0", "tree-sitter"), ("c", "a", "tree-sitter"), ("z", "a", "tree-sitter"), ("a", None, "tree-sitter"), ("a", "c", "agent"), ("z", "c", "agent"))], EDGES)
+    h = spark.createDataFrame([("f", "h"), ("g", "x"), ("f", "h")], "file string, hash string")
+    got = resolve.pending(n, e, h.union(h))
+    assert sorted((r.source, r.confirm, r.node_hash) for r in got.collect()) == [("a", True, "ha"), ("b", False, "hb")]
+    stale = files.agent_stale(n, e, h.distinct())
+    assert sorted((r.source, r.stale) for r in stale.collect()) == [("a", False), ("z", True)]
+    for out, key in ((got, "_file"), (stale, "file")):
+        side = [x for x in plan(out).splitlines() if "Join" in x and "source" in x]
+        first = next(x for x in plan(out).splitlines() if "Join" in x)
+        assert side and first in side  # the last join is by source
+
+
+def test_paths_take_their_steps_first(spark):
+    from symgraph.operators import graph
+    from symgraph.schema import EDGES, NODES
+
+    n = spark.createDataFrame([(x, "function", x, "f", 1, 1, "h") for x in "abcd"], NODES)
+    e = spark.createDataFrame([(s, t, "calls", p, 0.9, "", "h", 0) for s, t in ("ab", "bc", "ca", "bd", "dz", "ad") for p in ("lsp", "agent")], EDGES)
+    got = graph.call_paths(n, e, n.where("id = 'a'").select("id")).collect()
+    assert sorted(("".join(r.path), r.depth) for r in got) == [("a", 0), ("ab", 1), ("abc", 2), ("abd", 2), ("ad", 1)]
