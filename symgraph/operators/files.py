@@ -39,7 +39,9 @@ def anchors(nodes: DataFrame, current: DataFrame) -> DataFrame:
 
 def agent_stale(nodes: DataFrame, edges: DataFrame, hashes: DataFrame) -> DataFrame:
     """Agent edges with ``stale``: whether their source's file has another stored
-    hash by now, or source or file are unknown."""
+    hash by now, or source or file are unknown. Hashes meet the nodes first: edges by
+    file would be as few tasks as files."""
     e = edges.where("provenance_source = 'agent'")
-    out = e.join(nodes.select(F.col("id").alias("source"), "file"), "source", "left").join(hashes.select("file", "hash"), "file", "left")
+    n = nodes.select(F.col("id").alias("source"), "file").join(hashes.select("file", "hash"), "file", "left")
+    out = e.join(n, "source", "left")
     return out.select(*edges.columns, F.coalesce(F.col("hash") != F.col("content_hash"), F.lit(True)).alias("stale"))
