@@ -16,12 +16,13 @@ def _first(df: DataFrame, key: list[str], order: list) -> DataFrame:
 
 def pending(nodes: DataFrame, edges: DataFrame, hashes: DataFrame) -> DataFrame:
     """Parsed calls to look up: unresolved ones, and those from an indexed file
-    whose target is known (``confirm``)."""
+    whose target is known (``confirm``); with file and hash of the source node."""
     parsed = edges.where("kind = 'calls' and provenance_source = 'tree-sitter'")
-    own = nodes.select(F.col("id").alias("source"), F.col("file").alias("_file"))
-    e = parsed.join(own, "source").withColumn("confirm", ~is_unresolved(F.col("target")))
-    indexed = e.join(hashes.select(F.col("file").alias("_file")).distinct(), "_file", "left_semi")
-    return e.where("not confirm").unionByName(indexed.where("confirm").select(*e.columns))
+    files = hashes.select(F.col("file").alias("_file")).distinct().withColumn("_indexed", F.lit(True))
+    own = nodes.select(F.col("id").alias("source"), F.col("file").alias("_file"), F.col("content_hash").alias("node_hash"))
+    # files meet the nodes: edges by file would be as few tasks as files
+    e = parsed.join(own.join(files, "_file", "left"), "source").withColumn("confirm", ~is_unresolved(F.col("target")))
+    return e.where("not confirm or (confirm and _indexed)").drop("_indexed")
 
 
 def resolve_calls(nodes: DataFrame, edges: DataFrame, hashes: DataFrame, lookups: DataFrame, now: int = 0) -> DataFrame:
@@ -36,9 +37,8 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame, hashes: DataFrame, lookups
     met = hit.join(n, (F.col("def_file") == F.col("to_file")) & (F.col("def_line") == F.col("to_line")))
     met = met.where("(confirm and to = target) or (not confirm and to_name = ev.name)")
     met = _first(met, EDGE_KEY, ["to_line", "to"])
-    h = nodes.select(F.col("id").alias("source"), F.col("content_hash").alias("node_hash"))
     evidence = F.concat_ws(":", "def_file", F.col("def_line").cast("string"), F.col("def_col").cast("string"))
-    return met.join(h, "source").select(
+    return met.select(
         *[F.col(c).alias(f"old_{c}") for c in EDGE_KEY], "source", F.col("to").alias("target"), F.lit("calls").alias("kind"), F.lit("lsp").alias("provenance_source"),
         F.lit(LOOKUP_CONFIDENCE).alias("confidence"), evidence.alias("evidence"), F.col("node_hash").alias("content_hash"), F.lit(now).cast("long").alias("created_at"), "confirm",
     )
