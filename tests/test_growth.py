@@ -136,3 +136,12 @@ def test_paths_take_their_steps_first(spark):
     e = spark.createDataFrame([(s, t, "calls", p, 0.9, "", "h", 0) for s, t in ("ab", "bc", "ca", "bd", "dz", "ad") for p in ("lsp", "agent")], EDGES)
     got = graph.call_paths(n, e, n.where("id = 'a'").select("id")).collect()
     assert sorted(("".join(r.path), r.depth) for r in got) == [("a", 0), ("ab", 1), ("abc", 2), ("abd", 2), ("ad", 1)]
+
+
+@tables
+def test_routes_do_not_gather_all_parts(spark):
+    from symgraph.fixture import Graph
+
+    text = plan(Graph(spark, str(DATA)).routes)
+    assert "BuildRight" in text and "part.parquet" not in text[text.index("BroadcastExchange"):]
+    assert not re.search(r"Exchange hashpartitioning\(p_partkey#\d+L, \d+\)", text)
