@@ -145,3 +145,11 @@ def test_routes_do_not_gather_all_parts(spark):
     text = plan(Graph(spark, str(DATA)).routes)
     assert "BuildRight" in text and "part.parquet" not in text[text.index("BroadcastExchange"):]
     assert not re.search(r"Exchange hashpartitioning\(p_partkey#\d+L, \d+\)", text)
+
+
+@tables
+def test_unresolved_calls_keep_their_tasks(spark):
+    """Adaptive execution would merge the narrow rows of unresolved calls to one task."""
+    df = QUERIES["edge_dedup_first"](spark, str(DATA))
+    assert "REPARTITION_BY_NUM" in plan(df)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
